@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import copies
+from quillstone.llm import copies, near
+from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
 
@@ -20,6 +21,21 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("keep").alias("keep_id"), (F.col("n") - 1).alias("n_copies"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return near.member_pairs(*near.near_duplicates(table(spark, folder, "blocks"), Scratch(spark, "p6")))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block with its group of similar texts and its class's number of similar classes."""
+    scratch = Scratch(spark, "p6")
+    members, similar = near.near_duplicates(table(spark, folder, "blocks"), scratch)
+    links = similar.union(similar.select("b", "a")).groupBy(F.col("a").alias("rid")).agg(F.count("*").alias("n_links"))
+    group = components(similar, scratch).select(F.col("node").alias("rid"), F.col("component"))
+    known = members.join(links, "rid", "left").join(group, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    names = known.groupBy("component").agg(F.min("id").alias("group_id"))
+    return known.join(names, "component").select(F.col("id").alias("block_id"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found, "p6_groups": p6_groups}
 
 ORACLES: dict[str, str] = {}
