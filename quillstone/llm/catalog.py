@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import copies, near
+from quillstone.llm import copies, near, private
 from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
@@ -21,6 +21,16 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("keep").alias("keep_id"), (F.col("n") - 1).alias("n_copies"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    clean = private.sanitise(table(spark, folder, "blocks"), Scratch(spark, "p5"))
+    return clean.select(F.col("id").alias("block_id"), F.explode("kinds").alias("kind")).distinct()
+
+
+def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block's content with typed placeholders."""
+    return private.sanitise(table(spark, folder, "blocks"), Scratch(spark, "p5")).select(F.col("id").alias("block_id"), "clean").distinct()
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return near.member_pairs(*near.near_duplicates(table(spark, folder, "blocks"), Scratch(spark, "p6")))
 
@@ -36,6 +46,6 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return known.join(names, "component").select(F.col("id").alias("block_id"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups}
 
 ORACLES: dict[str, str] = {}
