@@ -23,11 +23,11 @@ empty result; other columns are ignored; the threshold is exact in integers.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +37,7 @@ from quillstone.plans.scratch import Scratch
 
 #: Similarity as a fraction; counters of the frequency sketch; rows of the longest list compared in one task.
 T_NUM, T_DEN = 7, 10
-SLOTS, LIST_ROWS = 1 << 20, 8192
+SLOTS, LIST_ROWS = 1 << 20, 16_384
 #: Listed rows in one task.
 TASK_ROWS = 250_000
 
@@ -81,36 +81,49 @@ def frequencies(records: DataFrame) -> np.ndarray:
     return out
 
 
-FORMS = "id string, copy binary, words binary, n int, parity binary, tok array<int>, pos array<int>, tok2 array<int>, tok3 array<int>"
+PARITY = ["p0", "p1", "p2", "p3"]
+FORMS = "id string, copy binary, w0 bigint, w1 bigint, n int, p0 bigint, p1 bigint, p2 bigint, p3 bigint, tok array<int>, pos array<int>"
+
+
+def _class(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(19)) & np.uint64(1)
+
+
+def _prefix(n: int) -> int:
+    """Words of a set of ``n`` of which similar sets share one, under any order."""
+    return n - (T_NUM * n + T_DEN - 1) // T_DEN + 1
 
 
 def _forms(shared) -> Callable:  # noqa: ANN001
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df = _Hashes(), shared.value
-        for b in batches:
-            texts = [words(t) for t in b["content"]]
-            keep = [i for i, w in enumerate(texts) if w]
-            if not keep:
-                continue
-            ids, contents, texts = b["id"].iloc[keep].tolist(), b["content"].iloc[keep].tolist(), [texts[i] for i in keep]
-            copy = [hashlib.sha256((canonical(t) if fields(t) is not None else "\x1d" + " ".join(w)).encode("utf-8", "surrogatepass")).digest()[:16] for t, w in zip(contents, texts, strict=True)]
-            h, row = _flat(texts, known)
-            freq = df[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-            n = np.bincount(row, minlength=len(texts))
-            start = np.concatenate(([0], np.cumsum(n)))
-            p = n - (T_NUM * n + T_DEN - 1) // T_DEN + 1
-            token = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            bits = np.bincount(row * 256 + ((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256 * len(texts)).reshape(-1, 256) & 1
-            parity = np.packbits(bits.astype(np.uint8), axis=1)
-            odd = (h >> np.uint64(19)) & np.uint64(1)
-            o1, o2, o3 = np.lexsort((h, freq, row)), np.lexsort((h, freq, odd, row)), np.lexsort((h, freq, 1 - odd, row))
-            hs, out = np.sort(h[np.argsort(row, kind="stable")]) if len(texts) == 1 else h[np.lexsort((h, row))], []
-            for i in range(len(texts)):
-                a, z, q = start[i], start[i + 1], int(p[i])
-                x1, x2, x3 = o1[a : a + q], o2[a : a + q], o3[a : a + q]
-                m1 = freq[x1] > 1
-                out.append((ids[i], copy[i], hashlib.blake2b(hs[a:z].tobytes(), digest_size=16).digest(), z - a, parity[i].tobytes(), token[x1][m1], np.flatnonzero(m1).astype(np.int32), token[x2][freq[x2] > 1], token[x3][freq[x3] > 1]))
-            yield pd.DataFrame(out, columns=["id", "copy", "words", "n", "parity", "tok", "pos", "tok2", "tok3"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):  # the number of the text takes 12 bits of the sort key
+                b = whole.slice(at, 4096)
+                contents = b.column(1).to_pylist()
+                texts = [words(t) for t in contents]
+                some = [i for i, w in enumerate(texts) if w]
+                if not some:
+                    continue
+                contents, texts = [contents[i] for i in some], [texts[i] for i in some]
+                copy = [xxhash.xxh3_128_digest((canonical(t) if fields(t) is not None else "\x1d" + " ".join(w)).encode("utf-8", "surrogatepass")) for t, w in zip(contents, texts, strict=True)]
+                h, row = _flat(texts, known)
+                n = np.bincount(row)
+                start = np.cumsum(n) - n
+                freq = np.minimum(df[(h & np.uint64(SLOTS - 1)).astype(np.int64)], SLOTS - 1).astype(np.uint64)
+                order = np.sort((row.astype(np.uint64) << np.uint64(52)) | (freq << np.uint64(32)) | (h >> np.uint64(32)))
+                place = np.arange(len(h)) - start[row]
+                listed = (place < _prefix(n)[row]) & (((order >> np.uint64(32)) & np.uint64(SLOTS - 1)) > 1)
+                ends = np.concatenate(([0], np.cumsum(np.bincount(row[listed], minlength=len(n))))).astype(np.int32)
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+                bits = np.bincount(row * 256 + ((h >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256 * len(n)).reshape(-1, 256) & 1
+                parity = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+                twist = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+                twist = (twist ^ (twist >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+                columns = [b.column(0).take(pa.array(some)), pa.array(copy, pa.binary()), pa.array(np.add.reduceat(h, start).view(np.int64)), pa.array(np.add.reduceat(twist, start).view(np.int64)), pa.array(n.astype(np.int32))]
+                columns += [pa.array(np.ascontiguousarray(parity[:, i])) for i in range(4)]
+                columns += [lists((order[listed] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)), lists(place[listed].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "copy", "w0", "w1", "n", *PARITY, "tok", "pos"])
 
     return run
 
@@ -126,7 +139,7 @@ def _compare(key: np.ndarray, diag: np.ndarray, part: np.ndarray, rid: np.ndarra
     def keep(i: np.ndarray, j: np.ndarray) -> None:
         both = n[i] + n[j]
         least = (T_NUM * both + T_NUM + T_DEN - 1) // (T_NUM + T_DEN)
-        apart = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int32)
+        apart = np.bitwise_count((parity[i] ^ parity[j]).view(np.uint64)).sum(axis=1, dtype=np.int32)
         ok = (apart <= both - 2 * least) & (diag[i] | (part[i] != part[j])) & (rid[i] != rid[j])
         if ok.any():
             a, b = rid[i[ok]], rid[j[ok]]
@@ -152,38 +165,64 @@ def _lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     held = [b for b in batches if len(b)]
     if not held:
         return
-    key, diag, part, rid, n, pos = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("key", "diag", "part", "rid", "n", "pos"))
-    parity = np.frombuffer(b"".join(x for b in held for x in b["parity"]), np.uint64).reshape(-1, 4)
+    key, place, rid, size, *parity = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("key", "place", "rid", "size", *PARITY))
     o = np.argsort(key, kind="stable")
-    out = _compare(key[o], diag[o], part[o], rid[o], n[o], pos[o], parity[o])
+    place, size = place[o], size[o]
+    out = _compare(key[o], place < 0, place, rid[o], size >> 32, size & 0xFFFFFFFF, np.stack([p[o] for p in parity], axis=1))
     if len(out):
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    known = _Hashes()
-    for b in batches:
-        yield pd.DataFrame({"rid": b["rid"], "tokens": [np.fromiter({known[w] for w in words(t)}, np.uint64).view(np.int64) for t in b["content"]]})
+def _sets(shared) -> Callable:  # noqa: ANN001
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, df = _Hashes(), shared.value
+        for b in batches:
+            out = []
+            for rid, text in zip(b["rid"], b["content"], strict=True):
+                h, _ = _flat([words(text)], known)
+                freq, q = df[(h & np.uint64(SLOTS - 1)).astype(np.int64)], _prefix(len(h))
+                out.append((rid, h.view(np.int64), h[np.lexsort((h, freq, _class(h)))[:q]].view(np.int64), h[np.lexsort((h, freq, 1 - _class(h)))[:q]].view(np.int64)))
+            yield pd.DataFrame(out, columns=["rid", "tokens", "order2", "order3"])
+
+    return run
+
+
+def _texts(rows: DataFrame, classes: DataFrame, rids: DataFrame, shared) -> DataFrame:  # noqa: ANN001
+    """``rid, tokens, order2, order3`` of some classes, from the text of one member each."""
+    sets = rows.join(rids.join(classes.select("rid", "id"), "rid"), "id").select("rid", "content").mapInPandas(_sets(shared), "rid bigint, tokens array<bigint>, order2 array<bigint>, order3 array<bigint>")
+    return sets.groupBy("rid").agg(F.min(F.struct("tokens", "order2", "order3")).alias("x")).select("rid", "x.*")
+
 
+def _candidates(rows: DataFrame, classes: DataFrame, shared, scratch: Scratch) -> DataFrame:  # noqa: ANN001
+    """``a, b``: pairs of classes that share a prefix word under order 1 and pass sizes, places and parity.
 
-def _candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``a, b``: pairs of classes that share a prefix word under order 1 and pass sizes, places and parity."""
-    listed = classes.select("rid", "n", "parity", "tok2", F.explode(F.arrays_zip("tok", "pos")).alias("x")).select(F.col("x.tok").cast("long").alias("key"), "rid", "n", F.col("x.pos").alias("pos"), "parity", "tok2")
-    whole, diag = listed.count(), [F.lit(True).alias("diag"), F.lit(0).alias("part")]
-    size = lambda rows: max(1, -(-rows // TASK_ROWS))
-    columns = ["key", "diag", "part", "rid", "n", "pos", "parity"]
-    long = scratch.cut(listed.groupBy("key").count().where(F.col("count") > LIST_ROWS), "long")
+    ``place`` is negative in a list that is compared as a whole; else the row's own block of two that are compared.
+    """
+    size = F.shiftleft(F.col("n").cast("long"), 32)
+    listed = classes.select("rid", size.alias("n"), *PARITY, F.explode(F.arrays_zip("tok", "pos")).alias("x")).select(F.col("x.tok").cast("long").alias("key"), "rid", (F.col("n") + F.col("x.pos")).alias("size"), *PARITY)
+    counts = listed.groupBy("key").count()
+    whole = counts.agg(F.sum("count")).first()[0] or 0
+    tasks = lambda rows: max(1, -(-rows // TASK_ROWS))
+    columns = ["key", "place", "rid", "size", *PARITY]
+    long = scratch.cut(counts.where(F.col("count") > LIST_ROWS), "long")
     short = listed if long.isEmpty() else listed.join(long, "key", "left_anti")
-    out = short.select("*", *diag).select(*columns).repartition(size(whole), "key").mapInPandas(_lists, "a bigint, b bigint")
+    out = short.withColumn("place", F.lit(-1)).select(*columns).repartition(tasks(whole), "key").mapInPandas(_lists, "a bigint, b bigint")
     if not long.isEmpty():
-        twice = listed.join(long.select("key"), "key", "left_semi").select(F.explode("tok2").alias("t2"), "key", "rid", "n", "pos", "parity").withColumn("key", F.xxhash64("key", "t2")).drop("t2")
-        counts = scratch.cut(twice.groupBy("key").count(), "counts").where(F.col("count") > 1)
+        hot = listed.join(long.select("key"), "key", "left_semi")
+        order2 = scratch.cut(_texts(rows, classes, hot.select("rid").distinct(), shared).select("rid", F.explode("order2").alias("t2")), "order2")
+        twice = hot.join(order2, "rid").withColumn("key", F.xxhash64("key", "t2")).drop("t2")
+        counts = scratch.cut(twice.groupBy("key").count().where(F.col("count") > 1), "counts")
         blocks = F.ceil(F.col("count") / LIST_ROWS).cast("int")
-        cut = twice.join(counts, "key").withColumn("k", blocks).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
-        cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("diag", F.col("other") == F.col("part"))
-        cut = cut.withColumn("key", F.when(F.col("k") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other"))))
         many = counts.agg(F.sum(F.col("count") * blocks)).first()[0] or 0
-        out = out.unionByName(cut.select(*columns).repartition(size(many), "key").mapInPandas(_lists, "a bigint, b bigint"))
+        rest, big = twice.join(counts.select("key"), "key", "left_semi"), counts.where(F.col("count") > LIST_ROWS)
+        if not big.isEmpty():
+            cut = rest.join(big.withColumn("k", blocks).select("key", "k"), "key").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("k")).cast("int"))
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("place", F.when(F.col("other") == F.col("own"), -1).otherwise(F.col("own")))
+            cut = cut.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
+            rest = rest.join(big, "key", "left_anti").withColumn("place", F.lit(-1)).select(*columns).unionByName(cut.select(*columns))
+        else:
+            rest = rest.withColumn("place", F.lit(-1)).select(*columns)
+        out = out.unionByName(rest.repartition(tasks(many), "key").mapInPandas(_lists, "a bigint, b bigint"))
     return out.distinct()
 
 
@@ -192,21 +231,21 @@ def near_duplicates(records: DataFrame, scratch: Scratch, id_col: str = "id", co
     spark: SparkSession = records.sparkSession
     rows = records.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).where("id is not null and content is not null")
     shared = spark.sparkContext.broadcast(frequencies(rows))
-    forms = scratch.cut(rows.mapInPandas(_forms(shared), FORMS), "forms")
-    classes = forms.groupBy("words").agg(F.min(F.struct("id", "n", "parity", "tok", "pos", "tok2", "tok3")).alias("x")).select("words", "x.*")
+    forms = scratch.cut(rows.mapInArrow(_forms(shared), FORMS), "forms")
+    classes = forms.groupBy("w0", "w1").agg(F.min(F.struct("id", "n", *PARITY, "tok", "pos")).alias("x")).select("w0", "w1", "x.*")
     classes = scratch.cut(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    members = forms.groupBy("id").agg(F.min(F.struct("copy", "words")).alias("x")).select("id", "x.*").join(classes.select("words", "rid"), "words").select("id", "rid", "copy")
-    pairs = scratch.cut(_candidates(classes, scratch), "candidates")
-    orders = lambda s: classes.select(F.col("rid").alias(s), F.col("tok2").alias(f"tok2{s}"), F.col("tok3").alias(f"tok3{s}"))
-    pairs = pairs.join(orders("a"), "a").join(orders("b"), "b").where("arrays_overlap(tok2a, tok2b) and arrays_overlap(tok3a, tok3b)").select("a", "b")
-    pairs = scratch.cut(pairs, "survivors")
-    used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct().join(classes.select("rid", "id"), "rid")
-    tokens = rows.join(used, "id").select("rid", "content").mapInPandas(_tokens, "rid bigint, tokens array<bigint>")
-    tokens = scratch.cut(tokens.groupBy("rid").agg(F.min("tokens").alias("tokens")), "tokens")
-    side = lambda s: tokens.select(F.col("rid").alias(s), F.col("tokens").alias(f"t{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("ta", "tb")))
-    similar = both.where(F.col("common") * (T_NUM + T_DEN) >= (F.size("ta") + F.size("tb")) * T_NUM).select("a", "b")
-    return scratch.cut(members, "members"), scratch.cut(similar, "similar")
+    members = forms.groupBy("id").agg(F.min(F.struct("copy", "w0", "w1")).alias("x")).select("id", "x.*").join(classes.select("w0", "w1", "rid"), ["w0", "w1"]).select("id", "rid", "copy")
+    members = scratch.cut(members, "members")
+    scratch.drop(forms)
+    pairs = scratch.cut(_candidates(rows, classes, shared, scratch), "candidates")
+    used = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+    sets = scratch.cut(_texts(rows, classes, used, shared), "sets")
+    scratch.drop(classes)
+    side = lambda s: sets.select(F.col("rid").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("tokens", "order2", "order3")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    similar = both.where(common * (T_NUM + T_DEN) >= (F.size("tokens_a") + F.size("tokens_b")) * T_NUM).select("a", "b")
+    return members, scratch.cut(similar, "similar")
 
 
 def member_pairs(members: DataFrame, similar: DataFrame) -> DataFrame:
