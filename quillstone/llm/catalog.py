@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import copies, near, private
+from quillstone.llm import copies, near, private, sentences
 from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
@@ -46,6 +46,15 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return known.join(names, "component").select(F.col("id").alias("block_id"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentence_units(table(spark, folder, "documents")).select("doc_id", "start_at")
+
+
+def p10_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sentence unit with its place and text."""
+    return sentences.sentence_units(table(spark, folder, "documents"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_units": p10_units}
 
 ORACLES: dict[str, str] = {}
