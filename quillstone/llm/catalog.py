@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import copies, near, private, sentences
+from quillstone.llm import copies, leaks, near, packing, private, sentences
 from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
@@ -46,6 +46,34 @@ def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     return known.join(names, "component").select(F.col("id").alias("block_id"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text, or piece of one that exceeds the capacity, with its container, for each capacity."""
+    counts = packing.token_counts(table(spark, folder, "documents"))
+    return packing.pack(counts, table(spark, folder, "context_budgets"), Scratch(spark, "p8")).withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, tokens and the share of unused space by capacity."""
+    budgets = table(spark, folder, "context_budgets").select(F.col("budget_id"), "capacity_tokens")
+    boxes = p8_pack(spark, folder).groupBy("budget_id").agg(F.count_distinct("container").alias("n_containers"), F.sum("tokens").alias("n_tokens"))
+    return boxes.join(budgets, "budget_id").withColumn("unused", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest verbatim match of every leaked item in every document."""
+    return leaks.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without a leaked item."""
+    documents = table(spark, folder, "documents")
+    return leaks.without_leaks(documents, leaks.find_leaks(documents, table(spark, folder, "eval_items"))).select("doc_id", "source")
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents")).select("doc_id", "start_at")
 
@@ -55,6 +83,6 @@ def p10_units(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p10_found": p10_found, "p10_units": p10_units}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_units": p10_units}
 
 ORACLES: dict[str, str] = {}
