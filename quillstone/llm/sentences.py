@@ -15,10 +15,12 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 64
+CHUNK = 32
 
 # Abbreviations that do not end a sentence, by alphabet.
 LATIN = "approx aprox env ca cf vgl vs vol Vol Nr No Nos no Fig Figs FIG Abb Tab Tabl tabl Ref Réf réf Sec Pat Pos Corp Ltd Co Dr Mr Mrs Ms Prof St Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec bzw evtl ggf inkl núm Núm pág art Art Sr Sra Dra ed eds EE UU uds min max incl resp Abs Bd Ph al ex ej chap Eq eq".split()
@@ -30,28 +32,34 @@ ENDING = "etc usw Inc".split()
 STARTERS = "the a an as it in when known this that if one each all when".split()
 
 _TERMINATORS, _BLANK = "!?…。！？।॥", r"[^\S\n]"
-#: What parts units and what stands for a masked full stop.
-MARK, STOP = "\ue000", "\ue001"
+#: What parts units, what stands for a masked full stop, and what parts quotations from the rest.
+MARK, STOP, PART = "\ue000", "\ue001", "\ue01f"
 #: Opening and closing quotes and the private-use characters that stand for them inside a sentence.
 _QUOTES = [("“", "”", "\ue002", "\ue003"), ('"', '"', "\ue004", "\ue005"), ("«", "»", "\ue006", "\ue007"), ("„", "“", "\ue008", "\ue009"), ("「", "」", "\ue00a", "\ue00b"), ("『", "』", "\ue00c", "\ue00d"), ("（", "）", "\ue00e", "\ue00f")]
 _MARKED, _MASKS = "." + _TERMINATORS, STOP + "".join(chr(0xE010 + i) for i in range(len(_TERMINATORS)))
-_SPACE = r"[\s\u0085   -     　]"
+_SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), lambda v: then(v))[0]
 
 
 def _inner_quotes(text: Column) -> Column:
     """Private-use quotes around what is quoted inside a sentence, and masked marks within."""
-    inside = r"[^\s.!?…。！？।॥:;\]\)）】\"”»-]"
+    inside = r"[^\s.!?…。！？।॥:;\]\)）】\"”»-]"
     near = rf"{_BLANK}{{0,2}}\n?{_BLANK}{{0,2}}"
     for a, z, p, q in _QUOTES:
         between = rf"(?:{_BLANK}{{1,2}}|{_BLANK}{{0,2}}\n{_BLANK}{{0,2}}|[\(])" if a == '"' else near
-        if a == "（":
-            text = F.regexp_replace(text, rf"（([^（）\n]{{1,24}}[{_MARKED}])）", f"{p}$1{q}")
-        else:
-            text = F.regexp_replace(text, rf"{a}(?<={inside}{between}{a})((?:[^{a}{z}\n]|\n(?!\s*\n)){{1,400}}){z}", f"{p}$1{q}")
-    opened, closed = "".join(x[2] for x in _QUOTES), "".join(x[3] for x in _QUOTES)
-    parts = F.split(text, f"(?=[{opened}])|(?<=[{closed}])")
-    masked = F.array_join(F.transform(parts, lambda x: F.when(x.rlike(f"^[{opened}]"), F.translate(x, _MARKED, _MASKS)).otherwise(x)), "")
-    return F.when(text.rlike(f"[{opened}]"), masked).otherwise(text)
+        found = rf"（([^（）\n]{{1,24}}[{_MARKED}])）" if a == "（" else rf"{a}(?<={inside}{between}{a})((?:[^{a}{z}\n]|\n(?!\s*\n)){{1,400}}+){z}"
+        text = _let(text, lambda t: F.when(F.contains(t, F.lit(a)), F.regexp_replace(t, found, f"{PART}{p}$1{q}{PART}")).otherwise(t))
+    opened = F.array(*[F.lit(x[2]) for x in _QUOTES])
+
+    def masked(t: Column) -> Column:
+        parts = F.transform(F.split(t, PART), lambda x: F.when(F.array_contains(opened, F.substring(x, 1, 1)), F.translate(x, _MARKED, _MASKS)).otherwise(x))
+        return F.array_join(parts, "")
+
+    return _let(text, lambda t: F.when(F.contains(t, F.lit(PART)), masked(t)).otherwise(t))
 
 
 def _masked_stops(text: Column) -> Column:
@@ -72,23 +80,28 @@ def _masked_stops(text: Column) -> Column:
 
 def _set_marks(text: Column) -> Column:
     closing = r"(?:[”’»\)\]」』）】]|[^\S\n]»|\"|“(?=\s|\z))*"
-    thai = r"(?<=[฀-๿])(?=[  \t]+[฀-๿])"
-    return F.regexp_replace(text, rf"[.{_TERMINATORS}]+{closing}|\n(?={_BLANK}*\n)|{thai}", f"$0{MARK}")
+    thai = r"[ \u00a0\t]+(?=[\u0e00-\u0e7f])(?<=[\u0e00-\u0e7f][ \u00a0\t]{1,9})"
+    ends = rf"[.{_TERMINATORS}]+{closing}|\n(?={_BLANK}*\n)"
+    return _let(text, lambda t: F.when(t.rlike("[\u0e00-\u0e7f]"), F.regexp_replace(t, f"{ends}|{thai}", f"$0{MARK}")).otherwise(F.regexp_replace(t, ends, f"$0{MARK}")))
 
 
 def sentence_units(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, unit, start_at, text``: the units of every document in order, with their places."""
-    clean = F.regexp_replace(F.col(text_col), "[\ue000-\ue01f]", "�")
-    rows = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.split(_set_marks(_masked_stops(_inner_quotes(clean))), MARK).alias("p"))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size("p") - 1) / CHUNK).cast("int")), lambda c: F.slice("p", c * CHUNK + 1, CHUNK))
-    rows = rows.select("id", chunks.alias("chunks"))
+    clean = F.regexp_replace(F.col(text_col), "[\ue000-\ue01f]", "\ufffd")
     total = lambda lengths: F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("sums", F.transform("chunks", lambda c: total(F.transform(c, F.length))))
-    rows = rows.select("id", "sums", F.posexplode("chunks").alias("n", "c"))
-    rows = rows.select("id", "n", "c", total(F.slice("sums", 1, F.col("n"))).alias("base"), F.transform("c", F.length).alias("lengths"))
+    lengths = lambda c: F.transform(c, F.length)
+
+    def chunks(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.slice(p, c * CHUNK + 1, CHUNK))
+        return _let(cut, lambda cs: F.struct(cs.alias("chunks"), F.transform(cs, lambda c: total(lengths(c))).alias("sums")))
+
+    whole = _let(F.split(_set_marks(_masked_stops(_inner_quotes(clean))), MARK), chunks)
+    rows = documents.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array(whole)).alias("w"))
+    rows = rows.select("id", F.col("w.sums").alias("sums"), F.posexplode("w.chunks").alias("n", "c"))
+    rows = rows.select("id", "n", F.explode(F.array(F.struct("c", total(F.slice("sums", 1, F.col("n"))).alias("base"), lengths(F.col("c")).alias("lengths")))).alias("y")).select("id", "n", "y.*")
     units = F.transform("c", lambda x, i: F.struct(x.alias("x"), (F.col("base") + total(F.slice("lengths", 1, i))).alias("at")))
     rows = rows.select("id", "n", F.posexplode(units).alias("i", "u"))
-    trimmed = F.regexp_replace("u.x", f"^{_SPACE}+", "")
+    trimmed = F.ltrim("u.x", F.lit(_SPACE))
     rows = rows.select("id", (F.col("n") * CHUNK + F.col("i")).alias("unit"), "u.x", "u.at", trimmed.alias("t")).where("t <> ''")
-    restored = F.translate(F.regexp_replace("t", f"{_SPACE}+$", ""), _MASKS + "".join(p + q for _, _, p, q in _QUOTES), _MARKED + "".join(a + z for a, z, _, _ in _QUOTES))
+    restored = F.translate(F.rtrim("t", F.lit(_SPACE)), _MASKS + "".join(p + q for _, _, p, q in _QUOTES), _MARKED + "".join(a + z for a, z, _, _ in _QUOTES))
     return rows.select(F.col("id").alias(id_col), "unit", (F.col("at") + F.length("x") - F.length("t")).alias("start_at"), restored.alias("text"))
