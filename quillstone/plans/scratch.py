@@ -40,7 +40,13 @@ class Scratch:
         """Write ``df`` and return the table read back."""
         self.n += 1
         path = f"{self.base}/{self.n}-{name}"
-        df.write.parquet(path)
+        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        self.spark.conf.set(key, "true")  # the table is written: nothing reads this run's shuffle files again
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back
