@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import copies, leaks, near, packing, private, sentences
+from quillstone.llm import copies, leaks, near, neighbours, packing, private, sentences
 from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
@@ -21,6 +21,26 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select(F.col("keep").alias("keep_id"), (F.col("n") - 1).alias("n_copies"))
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"))
+    near = neighbours.nearest(vectors, graph.withColumn("keep", F.transform(F.filter(F.slice(F.arrays_zip("nbr", "sim"), 1, 5), lambda x: x["sim"] >= 0.9), lambda x: x)).select("rid", F.col("keep.nbr").alias("nbr"), F.col("keep.sim").alias("sim")))
+    return near.select(F.least("id", "neighbour").alias("block_a"), F.greatest("id", "neighbour").alias("block_b")).distinct()
+
+
+def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 most similar block_ids of every usable embedding."""
+    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"))
+    return neighbours.nearest(vectors, graph).select(F.col("id").alias("block_id"), "rank", "neighbour", "similarity")
+
+
+def p3_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Greedy graph search for every embedding of table ``embeddings`` whose vec_id is divisible by 20."""
+    scratch = Scratch(spark, "p3")
+    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), scratch)
+    queries = table(spark, folder, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vector"))
+    return neighbours.greedy_search(queries, vectors, graph, scratch).select(F.col("qid").cast("bigint").alias("vec_id"), "neighbour", "similarity")
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     clean = private.sanitise(table(spark, folder, "blocks"), Scratch(spark, "p5"))
     return clean.select(F.col("id").alias("block_id"), F.explode("kinds").alias("kind")).distinct()
@@ -83,6 +103,6 @@ def p10_units(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.sentence_units(table(spark, folder, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_units": p10_units}
+QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_search": p3_search, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_units": p10_units}
 
 ORACLES: dict[str, str] = {}
