@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from quillstone.plans.scratch import Scratch
 
 DIMENSIONS, KEPT, BLOCK, PLACES = 64, 8, 4096, 3
-SAMPLE, MOST_CELLS, ROUNDS, SETTLED, FINE = 16_384, 4096, 4, 0.15, 0.8
+SAMPLE, MOST_CELLS, ROUNDS, SETTLED, FINE = 16_384, 4096, 4, 0.08, 0.8
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -202,7 +202,7 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
     where = (F.col("base") + F.pmod(F.xxhash64("rid"), F.col("k"))).cast("int").alias("block")
     homes = scratch.cut(placed.select("rid", F.col("cells")[0].alias("cell")).join(cells, "cell").select("rid", where), "homes")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("nbr", "array<bigint>"), ("sim", "array<float>"))]
-    own = placed.select("rid", F.col("cells")[0].alias("cell"), F.col("vec").alias("data")).join(cells, "cell").select(where, "rid", "data")
+    own = placed.select("rid", F.col("cells")[0].alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
     met = placed.select("rid", F.explode("cells").alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
     seen = met.select("block", "rid")
     graph = scratch.cut(_round(own.select("*", *none), met, base), "graph")
@@ -225,7 +225,8 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
             break
     close = graph.select("rid", F.explode(F.filter(F.arrays_zip("nbr", "sim"), lambda x: x["sim"] >= FINE)).alias("x")).select("rid", F.col("x.nbr").alias("w"))
     close = scratch.cut(close, "close")
-    state = own.join(close.select("rid").distinct(), "rid", "left_semi").join(graph.select("rid", "nbr", "sim"), "rid")
+    fine = close.select("rid").distinct().join(homes, "rid").join(placed.select("rid", F.col("vec").alias("data")), "rid")
+    state = fine.join(graph.select("rid", "nbr", "sim"), "rid")
     met = close.join(homes, "rid").select("block", F.col("w").alias("rid")).distinct().join(placed.select("rid", F.col("vec").alias("data")), "rid")
     exact = scratch.cut(_round(state, met, base, FINE), "exact")
     graph = graph.join(exact.select("rid"), "rid", "left_anti").unionByName(exact).select("rid", "nbr", "sim")
