@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Decay per hour by record type; anything else decays like a fact.
 DECAY_RATES = {"entity": 0.001, "fact": 0.005, "relation": 0.005, "preference": 0.02, "event": 0.04, "experience": 0.002, "episode": 0.0}
@@ -16,7 +17,7 @@ TOKEN = r"[\p{L}\p{N}_]+"
 NOISE = ["hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "yes", "no", "bye", "goodbye", "test", "help"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition; Spark has no expression for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))

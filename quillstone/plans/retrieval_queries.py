@@ -166,7 +166,7 @@ def rrf_merge(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def weighted_rrf(spark: SparkSession, folder: str) -> DataFrame:
-    return retrieval.rrf(*_two_lists(spark, folder), keyword_weight=0.4, vector_weight=0.6, bonus=0.5).select("query_id", "id", F.round("score", 4).alias("score"))
+    return retrieval.rrf(*_two_lists(spark, folder), keyword_weight=0.4, vector_weight=0.6, bonus=0.5).select("query_id", "id", "score")
 
 
 def time_window_interleave(spark: SparkSession, folder: str) -> DataFrame:
@@ -342,7 +342,7 @@ sc AS (SELECT query_id, id, round(sum(times * ln((pn - pdf + 0.5) / (pdf + 0.5)
 SELECT p.query_id, p.id, round(coalesce(score, 0), 4) AS score, CAST(row_number() OVER (PARTITION BY p.query_id ORDER BY coalesce(score, 0) DESC, p.rank, p.id) AS INT) AS rank FROM p LEFT JOIN sc USING (query_id, id)""",
     "cosine_topk": f"WITH {_top('t', 'x.embedding', 'y.embedding', 10)} SELECT query_id, id, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM t",
     "rrf_merge": f"WITH {_TWO}, m AS ({_RRF.format('1.0::DOUBLE', '1.0::DOUBLE')}), s AS (SELECT query_id, id, round(s, 6) AS score FROM m) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM s",
-    "weighted_rrf": f"WITH {_TWO}, m AS ({_RRF.format('0.4::DOUBLE', '0.6::DOUBLE')}) SELECT query_id, id, round(round(s + 0.5 * max(s) OVER (PARTITION BY query_id) * cosine, 6), 4) AS score FROM m",
+    "weighted_rrf": f"WITH {_TWO}, m AS ({_RRF.format('0.4::DOUBLE', '0.6::DOUBLE')}) SELECT query_id, id, round(s + 0.5 * max(s) OVER (PARTITION BY query_id) * cosine, 6) AS score FROM m",
     "time_window_interleave": f"WITH {_TWO}, p AS (SELECT query_id, id, min(place) AS place FROM (SELECT query_id, id, 2 * rank AS place FROM half UNION ALL SELECT query_id, id, 2 * rank + 1 FROM full_) GROUP BY ALL) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS INT) AS rank FROM p QUALIFY rank <= 20",
     "recall_ndcg": f"""WITH {_top('t', 'x.embedding', 'y.embedding', 10)}, r AS (SELECT x.vec_id AS query_id, y.vec_id AS id FROM embeddings x JOIN embeddings y USING (label) WHERE x.vec_id % 20 = 0), w AS (SELECT query_id, count(*) AS n FROM r GROUP BY 1),
 f AS (SELECT query_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM t JOIN r USING (query_id, id) GROUP BY 1)
