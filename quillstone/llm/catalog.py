@@ -105,4 +105,11 @@ def p10_units(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_search": p3_search, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_groups": p6_groups, "p8_pack": p8_pack, "p8_fill": p8_fill, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_units": p10_units}
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(lower(nfc_normalize(text)), '[\p{L}\p{N}]+')"
+
+ORACLES: dict[str, str] = {
+    "p9_found": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[n:n+11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS n FROM d)),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[n:n+11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS n FROM i))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
+}

@@ -33,6 +33,8 @@ KINDS = ("email", "address", "phone", "id_number", "name")
 DISCLOSURE_BITS, SHARE, LEAST = 7.0, 10_000, 3
 #: Different protected words that an ending of surnames must have.
 ENDING_WORDS = 5
+#: A term that is protected in this share of its texts reveals whatever the share of all terms.
+MOSTLY = 0.3
 
 _S, _D = r"(?:\s{1,3})", r"(?:[\s.\-‐‑–]{1,3})"
 EMAIL = re.compile(r"(?:mailto:)?[\w.+\-]*\w(?:@|\s?[(\[]at[)\]]\s?)[\w\-]+(?:(?:\.|\s?[(\[]dot[)\]]\s?)[\w\-]+)*(?:\.|\s?[(\[]dot[)\]]\s?)[a-z]{2,}", re.I)
@@ -230,11 +232,11 @@ def learn(records: DataFrame, scratch: Scratch, content_col: str = "content") ->
     if not k:
         return set(), set()
     least = max(LEAST, texts // SHARE)
-    bits = F.log2(F.col("k") / F.col("n") / F.lit(k / n))
+    reveals = (F.log2(F.col("k") / F.col("n") / F.lit(k / n)) >= DISCLOSURE_BITS) | (F.col("k") / F.col("n") >= MOSTLY)
     ends = counted.where("length(term) > 5").groupBy(F.expr("right(term, 4)").alias("term")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("words"))
-    ends = ends.where((F.col("k") >= least) & (F.col("words") >= ENDING_WORDS) & (bits >= DISCLOSURE_BITS))
+    ends = ends.where((F.col("k") >= least) & (F.col("words") >= ENDING_WORDS) & reveals)
     endings = {r[0] for r in ends.select("term").collect()}
-    given = {r[0] for r in counted.where((F.col("k") >= least) & (bits >= DISCLOSURE_BITS)).select("term").collect() if r[0][-4:] not in endings}
+    given = {r[0] for r in counted.where((F.col("k") >= least) & reveals).select("term").collect() if r[0][-4:] not in endings}
     # frames: of a left and a right word, how often they enclose a name found so, and other words that they enclose
     shared = spark.sparkContext.broadcast((given, endings))
     frame = rows.mapInPandas(_frames(shared), "left string, right string, word string, n bigint").groupBy("left", "right", "word").agg(F.sum("n").alias("n"))
