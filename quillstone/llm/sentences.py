@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 CHUNK = 32
 
 # Abbreviations that do not end a sentence, by alphabet.
-LATIN = "approx aprox env ca cf vgl vs vol Vol Nr No Nos no Fig Figs FIG Abb Tab Tabl tabl Ref Réf réf Sec Pat Pos Corp Ltd Co Dr Mr Mrs Ms Prof St Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec bzw evtl ggf inkl núm Núm pág art Art Sr Sra Dra ed eds EE UU uds min max incl resp Abs Bd Ph al ex ej chap Eq eq".split()
+LATIN = "approx aprox env ca cf vgl vs vol Vol Nr No Nos Fig Figs FIG Abb Tab Tabl tabl Ref Réf réf Sec Pat Pos Corp Ltd Co Dr Mr Mrs Ms Prof St Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec bzw evtl ggf inkl núm Núm pág art Art Sr Sra Dra ed eds EE UU uds min max incl resp Abs Bd Ph al ex ej chap Eq eq".split()
 CYRILLIC = "рис Рис см См табл Табл напр др ок пп стр гл им проф".split()
 DEVANAGARI = "डॉ सं श्री प्रो".split()
 MONTHS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split()
@@ -35,7 +35,7 @@ _TERMINATORS, _BLANK = "!?…。！？।॥", r"[^\S\n]"
 #: What parts units, what stands for a masked full stop, and what parts quotations from the rest.
 MARK, STOP, PART = "\ue000", "\ue001", "\ue01f"
 #: Opening and closing quotes and the private-use characters that stand for them inside a sentence.
-_QUOTES = [("“", "”", "\ue002", "\ue003"), ('"', '"', "\ue004", "\ue005"), ("«", "»", "\ue006", "\ue007"), ("„", "“", "\ue008", "\ue009"), ("「", "」", "\ue00a", "\ue00b"), ("『", "』", "\ue00c", "\ue00d"), ("（", "）", "\ue00e", "\ue00f")]
+_QUOTES = [("“", "”", "\ue002", "\ue003"), ('"', '"', "\ue004", "\ue005"), ("«", "»", "\ue006", "\ue007"), ("»", "«", "\ue01c", "\ue01d"), ("„", "“", "\ue008", "\ue009"), ("「", "」", "\ue00a", "\ue00b"), ("『", "』", "\ue00c", "\ue00d"), ("（", "）", "\ue00e", "\ue00f")]
 _MARKED, _MASKS = "." + _TERMINATORS, STOP + "".join(chr(0xE010 + i) for i in range(len(_TERMINATORS)))
 _SPACE = "".join(chr(c) for c in (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
@@ -79,7 +79,7 @@ def _masked_stops(text: Column) -> Column:
 
 
 def _set_marks(text: Column) -> Column:
-    closing = r"(?:[”’»\)\]」』）】]|[^\S\n]»|\"|“(?=\s|\z))*"
+    closing = r"(?:[”’»\)\]」』）】]|[^\S\n]»|\"|[“«](?=\s|\z))*"
     thai = r"[ \u00a0\t]+(?=[\u0e00-\u0e7f])(?<=[\u0e00-\u0e7f][ \u00a0\t]{1,9})"
     ends = rf"[.{_TERMINATORS}]+{closing}|\n(?={_BLANK}*\n)"
     return _let(text, lambda t: F.when(t.rlike("[\u0e00-\u0e7f]"), F.regexp_replace(t, f"{ends}|{thai}", f"$0{MARK}")).otherwise(F.regexp_replace(t, ends, f"$0{MARK}")))

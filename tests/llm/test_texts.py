@@ -180,6 +180,7 @@ CASES = [
     ("วาล์วปิด เปิดที่ 7.5 มม. ที่ตัว", ["วาล์วปิด", "เปิดที่ 7.5 มม. ที่ตัว"]),
     ("밸브 를 지지한다. 예컨대 No. 76 에서 안내한다.", ["밸브 를 지지한다.", "예컨대 No. 76 에서 안내한다."]),
     ("Вал, т. е. новый, рис. 5, цел. Он держит «Горячо. Ждать.» рядом. Клапан и т. д. На нём.", ["Вал, т. е. новый, рис. 5, цел.", "Он держит «Горячо. Ждать.» рядом.", "Клапан и т. д.", "На нём."]),
+    ("Auf dem Rotor steht »Ist es zu? Ja.« für ihn. »Ganz zitiert.« Ende: no. Wirklich.", ["Auf dem Rotor steht »Ist es zu? Ja.« für ihn.", "»Ganz zitiert.«", "Ende: no.", "Wirklich."]),
     ("  \n\n ", []), ("", []), (None, []), ("𝔸 bb. C　", ["𝔸 bb.", "C"]),
 ]
 
