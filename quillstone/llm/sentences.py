@@ -79,7 +79,7 @@ def _masked_stops(text: Column) -> Column:
 
 
 def _set_marks(text: Column) -> Column:
-    closing = r"(?:[”’»\)\]」』）】]|[^\S\n]»|\"|[“«](?=\s|\z))*"
+    closing = r"(?:[”’»\)\]」』）】]|[^\S\n]»(?=[\s.,;:)]|\z)|\"|[“«](?=\s|\z))*"
     thai = r"[ \u00a0\t]+(?=[\u0e00-\u0e7f])(?<=[\u0e00-\u0e7f][ \u00a0\t]{1,9})"
     ends = rf"[.{_TERMINATORS}]+{closing}|\n(?={_BLANK}*\n)"
     return _let(text, lambda t: F.when(t.rlike("[\u0e00-\u0e7f]"), F.regexp_replace(t, f"{ends}|{thai}", f"$0{MARK}")).otherwise(F.regexp_replace(t, ends, f"$0{MARK}")))
