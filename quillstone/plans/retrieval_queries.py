@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scalars
-from quillstone.operators import context, dedup, graph, oplog, questions, records, retrieval
+from quillstone.operators import context, dedup, graph, oplog, questions, records, rerank, retrieval
 from quillstone.operators.components import components
 from quillstone.plans.scratch import Scratch
 from quillstone.sources.tables import table
@@ -211,6 +211,17 @@ def context_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return context.confidence_report(_ranked(spark, folder))
 
 
+def heuristic_rerank(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _texts(spark, folder)
+    pool = retrieval.keyword_search(_queries(spark), texts, 50).join(texts, "id").select("query_id", "id", "rank", "text")
+    return rerank.heuristic(_queries(spark), pool).where("rank <= 10")
+
+
+def multi_hop(spark: SparkSession, folder: str) -> DataFrame:
+    live = graph.live_edges(table(spark, folder, "edges"), _blocks(spark, folder))
+    return rerank.multi_hop(_queries(spark), _texts(spark, folder), live)
+
+
 def graph_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """Live neighbours of every record, counted."""
     found = graph.neighbours(table(spark, folder, "edges"), _blocks(spark, folder))
@@ -261,7 +272,7 @@ QUERIES = {
     for f in (
         filter_scope, filter_tags_any, filter_metadata_json, filter_happened, decay_strength, strongest_topk, prune_candidates, record_violations, store_stats, sessions, session_history, sequential_links,
         question_counters, question_top, question_top_windowed, question_trending, question_stats, question_rollup, trouble_runs, content_hash_dups, dedup_merge, keyword_topk, bm25_rerank, cosine_topk,
-        rrf_merge, weighted_rrf, time_window_interleave, recall_ndcg, relevance_score, context_budget, recall_greedy, context_grouped, context_confidence, graph_neighbors, graph_contradictions,
+        rrf_merge, weighted_rrf, time_window_interleave, recall_ndcg, relevance_score, context_budget, recall_greedy, context_grouped, context_confidence, heuristic_rerank, multi_hop, graph_neighbors, graph_contradictions,
         graph_bfs_depth, graph_components, auto_link_tags, oplog_links, oplog_versions, ingest_chunks, question_entities,
     )
 } | {f"question_breakdown_{by}": question_breakdown(by) for by in ("daily", "weekly", "monthly")}
@@ -349,6 +360,8 @@ f AS (SELECT query_id, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM t J
 SELECT query_id, round(round(coalesce(hits, 0) / n::DOUBLE, 6), 4) AS recall, round(round(coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 6), 4) AS ndcg FROM w LEFT JOIN f USING (query_id)""",
     "relevance_score": f"WITH {_REL} SELECT query_id, id, relevance, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 10",
     "context_confidence": f"WITH {_REL} SELECT query_id, count(*) AS n, round(max(strength), 6) AS best, round(avg(strength), 6) AS mean, count(DISTINCT type) AS n_types, max(strength) >= 0.7 AS confident FROM ranked GROUP BY 1",
+    "context_budget": f"""WITH {_REL}, l AS (SELECT *, floor(length('[' || type || '] (' || printf('%.2f', strength) || ' ' || CASE WHEN strength >= 0.9 THEN 'HIGH' WHEN strength >= 0.7 THEN 'MED' WHEN strength >= 0.4 THEN 'LOW' ELSE 'WEAK' END || ') ' || content) / 4) AS cost FROM ranked)
+SELECT query_id, id, CAST(rank AS INT) AS rank, CAST(4 + sum(cost) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM l QUALIFY spent <= 1500""",
     "graph_neighbors": f"WITH {_B}, {_LIVE_EDGES} SELECT a AS id, count(*) AS n_neighbours, min(b) AS first_neighbour FROM le GROUP BY 1",
     "graph_contradictions": f"WITH {_B} SELECT DISTINCT source_id AS id, target_id AS neighbour FROM edges WHERE relation = 'contradicts' AND target_id IN (SELECT id FROM one WHERE NOT deleted)",
     "graph_bfs_depth": f"""WITH {_KW}, {_LIVE_EDGES}, s AS (SELECT DISTINCT id AS start FROM kw WHERE rank <= 10), d1 AS (SELECT DISTINCT start, b AS id FROM s JOIN le ON start = a WHERE b <> start),
