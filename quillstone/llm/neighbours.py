@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from quillstone.plans.scratch import Scratch
 
 DIMENSIONS, KEPT, BLOCK, PLACES = 64, 8, 4096, 3
-SAMPLE, MOST_CELLS, ROUNDS, SETTLED, FINE = 16_384, 4096, 4, 0.08, 0.8
+SAMPLE, MOST_CELLS, ROUNDS, SETTLED, FINE = 8192, 2048, 5, 0.03, 0.8
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -199,12 +199,13 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
         known.append((cell, base, k))
         base += k
     cells = F.broadcast(spark.createDataFrame(known, "cell int, base int, k int"))
-    where = (F.col("base") + F.pmod(F.xxhash64("rid"), F.col("k"))).cast("int").alias("block")
+    # a split cell's vectors go to one part as members and to another as company, so that its parts meet
+    where, other = ((F.col("base") + F.pmod(F.xxhash64("rid", F.lit(salt)), F.col("k"))).cast("int").alias("block") for salt in (0, 1))
     homes = scratch.cut(placed.select("rid", F.col("cells")[0].alias("cell")).join(cells, "cell").select("rid", where), "homes")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("nbr", "array<bigint>"), ("sim", "array<float>"))]
     own = placed.select("rid", F.col("cells")[0].alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
-    met = placed.select("rid", F.explode("cells").alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
-    seen = met.select("block", "rid")
+    met = placed.select("rid", F.explode("cells").alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(other, "rid", "data")
+    seen = scratch.cut(met.select("block", "rid"), "seen")
     graph = scratch.cut(_round(own.select("*", *none), met, base), "graph")
     for _ in range(ROUNDS):
         edges = graph.select("rid", F.explode("nbr").alias("w"))
