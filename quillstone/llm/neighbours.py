@@ -87,12 +87,13 @@ def _read(data: list[bytes]) -> np.ndarray:
 class _Block:
     """A block's vectors with their best neighbours so far."""
 
-    def __init__(self, rids: list[int], data: list[bytes], nbr: list, sim: list, fine: float | None) -> None:
+    def __init__(self, rids: list[int], data: list[bytes], state: list[bytes], fine: float | None) -> None:
         self.rid, self.x = np.array(rids, np.int64), _read(data)
         self.nbr, self.sim = np.full((len(rids), KEPT), -1, np.int64), np.full((len(rids), KEPT), -2, np.float32)
-        for i, (a, s) in enumerate(zip(nbr, sim, strict=True)):
-            if a is not None and len(a):
-                a, s = np.asarray(a), np.asarray(s, np.float32)
+        for i, held in enumerate(state):
+            if held:
+                n = len(held) // 12
+                a, s = np.frombuffer(held, np.int64, n), np.frombuffer(held, np.float32, n, 8 * n)
                 keep = s < fine if fine is not None else slice(None)
                 a, s = a[keep], s[keep]
                 self.nbr[i, : len(a)], self.sim[i, : len(a)] = a, s
@@ -134,7 +135,9 @@ class _Block:
     def out(self) -> pd.DataFrame:
         fresh = (self.nbr[:, :, None] != self.before[:, None, :]).all(axis=2) & (self.nbr >= 0)
         keep = self.nbr >= 0
-        return pd.DataFrame({"rid": self.rid, "nbr": [a[k] for a, k in zip(self.nbr, keep, strict=True)], "sim": [a[k] for a, k in zip(self.sim, keep, strict=True)], "fresh": fresh.sum(axis=1).astype(np.int32)})
+        nbr, sim = ([a[k] for a, k in zip(x, keep, strict=True)] for x in (self.nbr, self.sim))
+        state = [a.tobytes() + x.tobytes() for a, x in zip(nbr, sim, strict=True)]
+        return pd.DataFrame({"rid": self.rid, "nbr": nbr, "sim": sim, "state": state, "fresh": fresh.sum(axis=1).astype(np.int32)})
 
 
 def _compare(fine: float | None) -> Callable:
@@ -159,7 +162,7 @@ def _compare(fine: float | None) -> Callable:
                     current, own, block = p["block"].iloc[0], [], None
                 kind = p["kind"].to_numpy()
                 mine, met = p[kind == 0], p[kind == 1]
-                own += list(zip(mine["rid"], mine["data"], mine["nbr"], mine["sim"], strict=True))
+                own += list(zip(mine["rid"], mine["data"], mine["state"], strict=True))
                 if len(met):
                     block = block or made()
                     if block is not None:
@@ -171,13 +174,13 @@ def _compare(fine: float | None) -> Callable:
     return run
 
 
-GRAPH = "rid bigint, nbr array<bigint>, sim array<float>, fresh int"
+#: ``state`` holds nbr and sim as bytes: null arrays on every row that is only met cost far more to hand to Python.
+GRAPH = "rid bigint, nbr array<bigint>, sim array<float>, state binary, fresh int"
 
 
 def _round(own: DataFrame, met: DataFrame, blocks: int, fine: float | None = None) -> DataFrame:
-    """``own``: block, rid, data, nbr, sim; ``met``: block, rid, data."""
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("nbr", "array<bigint>"), ("sim", "array<float>"))]
-    rows = own.select("block", F.lit(0).alias("kind"), "rid", "data", "nbr", "sim").unionByName(met.select("block", F.lit(1).alias("kind"), "rid", "data", *none))
+    """``own``: block, rid, data, state; ``met``: block, rid, data."""
+    rows = own.select("block", F.lit(0).alias("kind"), "rid", "data", "state").unionByName(met.select("block", F.lit(1).alias("kind"), "rid", "data", F.lit(b"").alias("state")))
     return rows.repartition(min(2 * blocks, 8000), "block").sortWithinPartitions("block", "kind").mapInPandas(_compare(fine), GRAPH)
 
 
@@ -202,11 +205,10 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
     # a split cell's vectors go to one part as members and to another as company, so that its parts meet
     where, other = ((F.col("base") + F.pmod(F.xxhash64("rid", F.lit(salt)), F.col("k"))).cast("int").alias("block") for salt in (0, 1))
     homes = scratch.cut(placed.select("rid", F.col("cells")[0].alias("cell")).join(cells, "cell").select("rid", where), "homes")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("nbr", "array<bigint>"), ("sim", "array<float>"))]
     own = placed.select("rid", F.col("cells")[0].alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
     met = placed.select("rid", F.explode("cells").alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(other, "rid", "data")
     seen = scratch.cut(met.select("block", "rid"), "seen")
-    graph = scratch.cut(_round(own.select("*", *none), met, base), "graph")
+    graph = scratch.cut(_round(own.withColumn("state", F.lit(b"")), met, base), "graph")
     for _ in range(ROUNDS):
         edges = graph.select("rid", F.explode("nbr").alias("w"))
         either = edges.unionByName(edges.select(F.col("w").alias("rid"), F.col("rid").alias("w")))
@@ -217,7 +219,7 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
         new = scratch.cut(pool.join(seen, ["block", "rid"], "left_anti"), "new")
         seen = seen.unionByName(new)
         met = new.join(placed.select("rid", F.col("q").alias("data")), "rid")
-        state = own.join(graph.select("rid", "nbr", "sim"), "rid")
+        state = own.join(graph.select("rid", "state"), "rid")
         better = scratch.cut(_round(state, met, base), "graph")
         scratch.drop(graph, once)
         graph = better
@@ -227,7 +229,7 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tu
     close = graph.select("rid", F.explode(F.filter(F.arrays_zip("nbr", "sim"), lambda x: x["sim"] >= FINE)).alias("x")).select("rid", F.col("x.nbr").alias("w"))
     close = scratch.cut(close, "close")
     fine = close.select("rid").distinct().join(homes, "rid").join(placed.select("rid", F.col("vec").alias("data")), "rid")
-    state = fine.join(graph.select("rid", "nbr", "sim"), "rid")
+    state = fine.join(graph.select("rid", "state"), "rid")
     met = close.join(homes, "rid").select("block", F.col("w").alias("rid")).distinct().join(placed.select("rid", F.col("vec").alias("data")), "rid")
     exact = scratch.cut(_round(state, met, base, FINE), "exact")
     graph = graph.join(exact.select("rid"), "rid", "left_anti").unionByName(exact).select("rid", "nbr", "sim")
