@@ -11,7 +11,7 @@ Steps, each a handful of joins on written tables, with rounds in the logarithm o
 4. Chains form a tree at most ``log2(n)`` deep; jumping over chains adds up depths and preorder starts.
    Visiting the heavy child first makes every chain an interval, and every subtree the interval
    ``[pre, pre + size)`` within its root.
-5. ``paths`` concatenates chain segments.
+5. ``paths`` concatenates chain segments; ``descendants`` reads them from the intervals.
 
 Defined results: null ids are no nodes; an id in several rows is one node (greatest parent, then list);
 null, empty or unknown parents count as none; a null list is empty; among several listing blocks the
@@ -30,6 +30,8 @@ from quillstone.plans.scratch import Scratch
 
 #: Siblings of one parent are numbered in this many buckets, so that no task sorts all of a hot parent's children.
 SIBLING_BUCKETS = 512
+#: Preorder positions in one list of descendants.
+CHUNK = 256
 
 
 def resolve_parents(blocks: DataFrame, scratch: Scratch, id_col: str = "id", parent_col: str = "parent_id", children_col: str = "children_ids") -> DataFrame:
@@ -66,25 +68,30 @@ def _sizes(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     return size.groupBy("v").agg(F.sum("more").alias("size")), endless
 
 
-def _cycle_roots(endless: DataFrame, scratch: Scratch) -> DataFrame:
-    """``v, root``: the smallest id on the cycle that each endless node runs into.
+def _cycle_windows(endless: DataFrame, scratch: Scratch) -> DataFrame:
+    """``v, p, m2`` of endless nodes ``v, up``: ``p`` takes every node of a cycle and nothing else, ``m2`` is the smallest id on the cycle.
 
     Doubling keeps the smallest id of the ``2^k`` steps from ``v``. Once the jump targets no longer get
     fewer they are the cycles; once neighbouring windows on them share their minimum they cover the cycle.
     """
     now = scratch.cut(endless.select("v", F.col("up").alias("p"), F.col("v").alias("m")), "cycle")
     if now.isEmpty():
-        return now.select("v", F.col("m").alias("root"))
+        return now.select("v", "p", F.col("m").alias("m2"))
     while True:
         ahead = now.select(F.col("v").alias("p"), F.col("p").alias("q"), F.col("m").alias("m2"))
         both = scratch.cut(now.join(ahead, "p"), "cycle")
         here, there = both.agg(F.count_distinct("p"), F.count_distinct("q")).first()
         if here == there and both.where("m <> m2").join(both.select(F.col("p").alias("v")).distinct(), "v", "left_semi").isEmpty():
-            return both.select("v", F.col("m2").alias("root"))
+            return both
         scratch.drop(now)
         now = both.select("v", F.col("q").alias("p"), F.least("m", "m2").alias("m"))
 
 
+def _cycle_roots(endless: DataFrame, scratch: Scratch) -> DataFrame:
+    """``v, root``: the smallest id on the cycle that each endless node runs into."""
+    return _cycle_windows(endless, scratch).select("v", F.col("m2").alias("root"))
+
+
 def _climb(links: DataFrame, scratch: Scratch, sums: list[str]) -> DataFrame:
     """From ``v, up, sums`` with null ``up`` at the tops: ``v, top`` and the sums over all steps up."""
     done = [links.where("up is null").select("v", F.col("v").alias("top"), *[F.lit(0).cast("long").alias(s) for s in sums])]
@@ -163,7 +170,40 @@ def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return full.unionByName(nodes.where("endless").withColumn("path", F.lit(None).cast(T.ArrayType(T.StringType()))))
 
 
-def descendants(with_paths: DataFrame) -> DataFrame:
-    """``v, descendant, distance``: every pair, one row per step on a path; as large as all paths together."""
-    step = with_paths.where("not endless").select(F.col("v").alias("descendant"), "depth", F.posexplode("path").alias("at", "v"))
-    return step.where("v <> descendant").select("v", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+def _within(intervals: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``v, descendant, distance`` for ``v, root, lo, hi, depth``: the other nodes of ``root`` with ``pre`` in ``[lo, hi)``.
+
+    The nodes of a root are dense in preorder. They are listed by ``CHUNK`` positions; an interval meets the lists it overlaps
+    by an equi-join and takes a slice of each, so a pair becomes a row only after the join.
+    """
+    at = F.floor(F.col("pre") / CHUNK).cast("long")
+    lists = nodes.groupBy("root", at.alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pre", F.col("v").alias("d"), F.col("depth").alias("below")))).alias("members"))
+    each = intervals.where("hi > lo").withColumn("chunk", F.explode(F.sequence(F.floor(F.col("lo") / CHUNK).cast("long"), F.floor((F.col("hi") - 1) / CHUNK).cast("long"))))
+    first = F.greatest(F.col("lo") - F.col("chunk") * CHUNK, F.lit(0)).cast("int")
+    last = F.least(F.col("hi") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int")
+    met = each.join(lists, ["root", "chunk"]).select("v", "depth", F.explode(F.slice("members", first + 1, last - first)).alias("x"))
+    return met.select("v", F.col("x.d").alias("descendant"), (F.col("x.below") - F.col("depth")).alias("distance")).where("v <> descendant")
+
+
+def descendants(nodes: DataFrame) -> DataFrame:
+    """``v, descendant, distance``: every pair of blocks whose way up ends, from the intervals of ``hierarchy``."""
+    trees = nodes.where("not endless")
+    return _within(trees.where("size > 1").select("v", "root", (F.col("pre") + 1).alias("lo"), (F.col("pre") + F.col("size")).alias("hi"), "depth"), trees)
+
+
+def endless_descendants(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``v, descendant``: every other block on whose endless way up ``v`` lies.
+
+    With the cycles cut, each block on a cycle is the root of a tree. A block off the cycle has its interval
+    there; one on the cycle has all trees of its cycle.
+    """
+    loops = scratch.cut(nodes.where("endless").select("v", "up"), "loops")
+    if loops.isEmpty():
+        return loops.select("v", F.col("up").alias("descendant"))
+    cyclic = scratch.cut(_cycle_windows(loops, scratch).select(F.col("p").alias("v"), F.col("m2").alias("loop")).distinct(), "cyclic")
+    open_ = loops.join(cyclic.select("v", F.lit(True).alias("on")), "v", "left").select("v", F.when(F.col("on").isNull(), F.col("up")).alias("up"))
+    trees = scratch.cut(hierarchy(scratch.cut(open_, "opened"), scratch), "opened_trees")
+    tops = cyclic.join(trees.where("up is null").select("v", "size"), "v")
+    own = trees.where("up is not null").select("v", "root", F.col("pre").alias("lo"), (F.col("pre") + F.col("size")).alias("hi"), "depth")
+    every = cyclic.join(tops.select("loop", F.col("v").alias("root"), F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi")), "loop")
+    return _within(own.unionByName(every.select("v", "root", "lo", "hi", F.lit(None).cast("long").alias("depth"))), trees).select("v", "descendant")

@@ -17,12 +17,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    """Every block with its path, depth, root, number of descendants and preorder interval."""
+    """Every block with its path, depth, root and number of descendants; ``p1_descendants`` gives the descendants."""
     scratch = Scratch(spark, "p1")
     nodes = hierarchy.paths(hierarchy.hierarchy(hierarchy.resolve_parents(table(spark, folder, "blocks"), scratch), scratch), scratch)
     return nodes.select(F.col("v").alias("block_id"), F.col("up").alias("parent"), F.col("root").alias("root_id"), "depth", F.concat_ws("/", "path").alias("path"), (F.col("size") - 1).alias("n_descendants"), F.col("endless").alias("is_endless"))
 
 
+def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block with each of its descendants, also on and below cycles; there is no row for blocks without descendants."""
+    scratch = Scratch(spark, "p1")
+    nodes = scratch.cut(hierarchy.hierarchy(hierarchy.resolve_parents(table(spark, folder, "blocks"), scratch), scratch), "hierarchy")
+    pairs = hierarchy.descendants(nodes).select("v", "descendant").unionByName(hierarchy.endless_descendants(nodes, scratch))
+    return pairs.select(F.col("v").alias("block_id"), F.col("descendant").alias("descendant_id"))
+
+
 def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
     blocks = table(spark, folder, "blocks").select("id", "created_at", "deleted")
     refs = orphans.references(table(spark, folder, "edges"), "edges", "id", ["source_id", "target_id"], "created_at")
@@ -83,7 +91,7 @@ valid AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY clock, tim
   WHERE action = 'delete' OR action IN ('create', 'update') AND json_valid(data) AND json_type(CASE WHEN json_valid(data) THEN data END) = 'OBJECT'),
 reset AS (SELECT block_id, max(n) AS n, max_by(action, n) AS action FROM valid WHERE action <> 'update' GROUP BY block_id)"""
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_state": p7_state}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_state": p7_state}
 
 ORACLES = {
     "p1_found": _TREES + """
@@ -92,6 +100,9 @@ SELECT id AS block_id, root AS root_id FROM tree WHERE up IS NOT NULL UNION ALL
 SELECT t.id AS block_id, t.up AS parent, t.root AS root_id, CAST(t.depth AS BIGINT) AS depth, t.path AS path, b.n AS n_descendants, false AS is_endless
 FROM tree t JOIN below b ON t.id = b.anc
 UNION ALL SELECT l.id, l.up, r.root, NULL, '', NULL, true FROM loops l JOIN looproot r ON l.id = r.id""",
+    "p1_descendants": _TREES + """
+SELECT anc AS block_id, id AS descendant_id FROM (SELECT id, unnest(string_split(path, '/')) AS anc FROM tree) WHERE anc <> id
+UNION ALL SELECT spot, id FROM reach WHERE spot <> id""",
     "p4_found": _REFS + " SELECT DISTINCT ref_table, row_id, ref_field FROM cases WHERE reason IS NOT NULL",
     "p4_report": _REFS + """
 SELECT ref_table, ref_field, month, reason, count(*) AS n_orphans

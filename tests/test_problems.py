@@ -5,6 +5,7 @@ import random
 from datetime import datetime
 
 from quillstone.operators import changefeed, components, hierarchy, orphans
+from quillstone.plans import problems
 from quillstone.plans.scratch import Scratch
 
 BLOCKS = "id string, parent_id string, children_ids array<string>, extra string, v string"
@@ -71,6 +72,28 @@ def test_empty_hierarchy_and_descendants(spark):
     assert {(r.v, r.descendant, r.distance) for r in hierarchy.descendants(nodes).collect()} == {("a", "b", 1), ("a", "c", 2), ("b", "c", 1)}
 
 
+def test_descendants_of_every_block(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(hierarchy, "CHUNK", 4)
+    rows = [(f"n{i:03}", f"n{rng.randrange(max(1, i)):03}" if i and rng.random() < 0.9 else None, []) for i in range(80)]
+    rows += [("l1", "l3", []), ("l2", "l1", []), ("l3", "l2", []), ("t1", "l2", []), ("t2", "t1", []), ("t3", "l1", []), ("self", "self", []), ("under", "self", [])]
+    want = {(a, r[0]) for r in rows for a in ways_up(rows, r[0])}
+    scratch = Scratch(spark, "t")
+    nodes = hierarchy.hierarchy(hierarchy.resolve_parents(spark.createDataFrame([(*r, "x", "clash") for r in rows], BLOCKS), scratch), scratch)
+    found = [(r.v, r.descendant) for r in hierarchy.descendants(nodes).select("v", "descendant").unionByName(hierarchy.endless_descendants(nodes, scratch)).collect()]
+    assert set(found) == want and len(found) == len(want) and {("l1", "l3"), ("l3", "t2"), ("t1", "t2"), ("self", "under")} <= want
+    assert "p1_descendants" in problems.QUERIES
+
+
+def ways_up(rows, i):
+    up, out = {r[0]: r[1] for r in rows}, set()
+    x = up[i]
+    while x is not None and x not in out:
+        out.add(x)
+        x = up[x]
+    return out - {i}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x"), ("z", "z"), (None, "q")] + [(f"m{i:02}", f"m{i + 1:02}") for i in range(30)], "a string, b string")
     found = dict(components.components(edges, Scratch(spark, "t")).collect())
