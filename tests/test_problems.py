@@ -118,6 +118,30 @@ def test_orphans_wait_resolve_and_reopen(spark):
     assert orphans.OrphanState.empty(spark, Scratch(spark, "t")).cases().count() == 0
 
 
+def test_orphans_in_any_batches(spark):
+    t = [datetime(2024, m, 1) for m in range(1, 7)]
+    refs = [("edges", "e1", "s", "dead", t[3]), ("edges", "e2", "s", "never", t[3]), ("edges", "e3", "s", "dead", t[0]), ("edges", "e4", "s", "ok", t[3]), ("operations", "o1", "s", "dead", t[3]), ("edges", "e5", "s", "twice", t[2])]
+    parents = [("dead", t[1]), ("ok", t[1]), ("twice", t[4]), ("twice", t[1])]
+    steps = [("refs", r) for r in refs] + [("parents", p) for p in parents] + [("deletions", ("dead",)), ("deletions", ("never",))]
+    want = {("e1", "deleted"), ("e2", "absent"), ("e3", "early")}
+    shapes = {"refs": orphans.REF, "parents": "id string, created_at timestamp", "deletions": "id string"}
+
+    def run(*batches):
+        state = orphans.OrphanState.empty(spark, Scratch(spark, "t"))
+        for batch in batches:
+            state = state.apply(**{k: spark.createDataFrame([x for kind, x in steps if kind == k], shapes[k]) for k in batch}, may_dangle=["operations"])
+        return state
+
+    # references after the deletion; the deletion before the parent; both
+    for batches in (["parents"], ["deletions"], ["refs"]), (["refs"], ["deletions"], ["parents"]), (["deletions"], ["refs", "parents"]), (["deletions", "parents", "refs"],):
+        state = run(*batches)
+        assert {(r.row_id, r.reason) for r in state.pending.collect()} == want, batches
+        assert {r.row_id for r in state.settled.collect()} == {"e4", "e5", "o1"}, batches
+    # a parent that comes again, with an earlier time
+    state = orphans.OrphanState.empty(spark, Scratch(spark, "t")).apply(refs=spark.createDataFrame(refs[-1:], orphans.REF), parents=spark.createDataFrame(parents[2:3], shapes["parents"]))
+    assert state.cases().count() == 1 and state.apply(parents=spark.createDataFrame(parents[3:], shapes["parents"])).cases().count() == 0
+
+
 OPS = "id string, block_id string, clock bigint, timestamp timestamp, action string, data string, extra string"
 
 
