@@ -8,8 +8,8 @@ protected place (a mailbox name, after a personal title) to that chance over all
 count takes the frames (the words around) of names found so; words that frames of high disclosure enclose, in any
 script, are given names too. A revealing term with its neighbours (initial, particle, surname) is a name and is removed.
 
-All counts cover every text. The revealing terms fit on every executor: each occurs in at least one in ``SHARE``
-texts, so there are at most ``SHARE`` times the mean number of words in a text of them.
+All counts cover every text, and the support that a term needs is the same at every size. Up to ``BROADCAST_TERMS``
+revealing terms are sent to every executor; more are joined with the words of each text.
 
 Defined results: null ids and contents are left out; an id in several rows gives the kinds of all its rows; empty texts
 hold nothing; text outside the placeholders stays as it is; overlapping findings go to the first in the order of ``KINDS``,
@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from quillstone.plans.scratch import Scratch
 
 KINDS = ("email", "address", "phone", "id_number", "name")
-#: Bits of disclosure above which a term reveals; share of the texts (one in so many) and number that it must occur in.
-DISCLOSURE_BITS, SHARE, LEAST = 7.0, 10_000, 3
+#: Bits of disclosure above which a term reveals; number of protected places that it must have.
+DISCLOSURE_BITS, LEAST = 7.0, 3
+#: Revealing terms up to this number are broadcast.
+BROADCAST_TERMS = 100_000
 #: Different protected words that an ending of surnames must have.
 ENDING_WORDS = 5
 #: A term that is protected in this share of its texts reveals whatever the share of all terms.
@@ -201,13 +204,13 @@ class Names:
         return 0
 
 
-def _frames(shared) -> Callable:  # noqa: ANN001
+def _frames(names_of: Callable) -> Callable:
     """Counts of frames around two capitalised words, with the first word where it is not known as given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, out = Names(*shared.value), Counter()
+        out = Counter()
         for b in batches:
-            for t in b["content"]:
+            for t, names in zip(b["content"], names_of(b), strict=False):
                 t = _decoded(t)[0]
                 if t.isupper():
                     continue
@@ -222,29 +225,58 @@ def _frames(shared) -> Callable:  # noqa: ANN001
     return run
 
 
-def learn(records: DataFrame, scratch: Scratch, content_col: str = "content") -> tuple[set[str], set[str]]:
-    """Given names and surname endings that the corpus reveals."""
-    spark = records.sparkSession
+def _words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every word that ``Names`` may look up in a text, lower-cased in each of the ways that it does."""
+    for b in batches:
+        h, w = [], []
+        for x, t in zip(b["h"], b["content"], strict=True):
+            t = _decoded(t)[0]
+            low = t.lower()
+            own = {*_WORD.findall(low), *_WORD.findall("".join(c.lower() if len(c.lower()) == 1 else c for c in t))}
+            own |= {m.lower() for m in _WORD.findall(t)}
+            h += [x] * len(own)
+            w += own
+        yield pd.DataFrame({"h": pd.Series(h, dtype=object), "word": pd.Series(w, dtype=object)})
+
+
+def _with_terms(rows: DataFrame, terms: DataFrame, scratch: Scratch) -> tuple[DataFrame, Callable]:
+    """``rows``, with ``given, endings`` where the terms are too many to broadcast, and a function from a batch to its texts' ``Names``."""
+    if terms.count() <= BROADCAST_TERMS:
+        found = terms.collect()
+        shared = rows.sparkSession.sparkContext.broadcast(({r["term"] for r in found if not r["ending"]}, {r["term"] for r in found if r["ending"]}))
+        return rows, lambda b: repeat(Names(*shared.value))
+    hashed = rows.withColumn("h", F.sha2("content", 256))
+    words = hashed.select("h", "content").mapInPandas(_words, "h string, word string").distinct()
+    keys = words.select("h", F.explode(F.array(F.struct(F.col("word").alias("term"), F.lit(False).alias("ending")), F.struct(F.expr("right(word, 4)").alias("term"), F.lit(True).alias("ending")))).alias("x")).select("h", "x.*")
+    own = keys.join(terms, ["term", "ending"]).groupBy("h").agg(F.collect_set(F.when(~F.col("ending"), F.col("term"))).alias("given"), F.collect_set(F.when(F.col("ending"), F.col("term"))).alias("endings"))
+    own = scratch.cut(own, "own_terms")
+    none = F.array().cast("array<string>")
+    out = hashed.join(own, "h", "left").select(*rows.columns, F.coalesce("given", none).alias("given"), F.coalesce("endings", none).alias("endings"))
+    return out, lambda b: (Names(set(g), set(e)) for g, e in zip(b["given"], b["endings"], strict=True))
+
+
+def learn(records: DataFrame, scratch: Scratch, content_col: str = "content") -> DataFrame:
+    """``term, ending``: given names and surname endings that the corpus reveals."""
     rows = records.select(F.col(content_col).alias("content")).where("content is not null")
     counted = rows.mapInPandas(_terms, "term string, n bigint, k bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     counted = scratch.cut(counted, "terms")
-    texts, (k, n) = rows.count(), counted.agg(F.sum("k"), F.sum("n")).first()
+    k, n = counted.agg(F.sum("k"), F.sum("n")).first()
     if not k:
-        return set(), set()
-    least = max(LEAST, texts // SHARE)
+        return records.sparkSession.createDataFrame([], "term string, ending boolean")
     reveals = (F.log2(F.col("k") / F.col("n") / F.lit(k / n)) >= DISCLOSURE_BITS) | (F.col("k") / F.col("n") >= MOSTLY)
     ends = counted.where("length(term) > 5").groupBy(F.expr("right(term, 4)").alias("term")).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count_if(F.col("k") > 0).alias("words"))
-    ends = ends.where((F.col("k") >= least) & (F.col("words") >= ENDING_WORDS) & reveals)
-    endings = {r[0] for r in ends.select("term").collect()}
-    given = {r[0] for r in counted.where((F.col("k") >= least) & reveals).select("term").collect() if r[0][-4:] not in endings}
+    endings = scratch.cut(ends.where((F.col("k") >= LEAST) & (F.col("words") >= ENDING_WORDS) & reveals).select("term"), "endings")
+    given = counted.where((F.col("k") >= LEAST) & reveals).select("term")
+    given = given.join(endings.select(F.col("term").alias("e")), F.expr("right(term, 4)") == F.col("e"), "left_anti")
+    terms = scratch.cut(given.select("term", F.lit(False).alias("ending")).unionByName(endings.select("term", F.lit(True).alias("ending"))), "revealing")
     # frames: of a left and a right word, how often they enclose a name found so, and other words that they enclose
-    shared = spark.sparkContext.broadcast((given, endings))
-    frame = rows.mapInPandas(_frames(shared), "left string, right string, word string, n bigint").groupBy("left", "right", "word").agg(F.sum("n").alias("n"))
+    framed, names_of = _with_terms(rows, terms, scratch)
+    frame = framed.mapInPandas(_frames(names_of), "left string, right string, word string, n bigint").groupBy("left", "right", "word").agg(F.sum("n").alias("n"))
     sides = frame.select(F.explode(F.array(F.concat(F.lit("<"), "left"), F.concat(F.lit(">"), "right"))).alias("side"), "word", "n")
     good = sides.groupBy("side").agg(F.sum(F.when(F.col("word") == "", F.col("n")).otherwise(0)).alias("known"), F.sum("n").alias("n"))
-    good = good.where((F.col("known") >= least) & (F.col("known") / F.col("n") >= 0.3)).select("side")
-    more = sides.where("word <> '' and word <> '*'").join(good, "side").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= 2).select("word").collect()
-    return given | {r[0] for r in more}, endings
+    good = good.where((F.col("known") >= LEAST) & (F.col("known") / F.col("n") >= 0.3)).select("side")
+    more = sides.where("word <> '' and word <> '*'").join(good, "side").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= 2)
+    return scratch.cut(terms.unionByName(more.select(F.col("word").alias("term"), F.lit(False).alias("ending"))).distinct(), "learned")
 
 
 def find(text: str, names: Names) -> list[tuple[int, int, str]]:
@@ -269,11 +301,10 @@ def redact(text: str, found: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def _scan(shared) -> Callable:  # noqa: ANN001
+def _scan(names_of: Callable) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = Names(*shared.value)
         for b in batches:
-            found = [find(t, names) for t in b["content"]]
+            found = [find(t, names) for t, names in zip(b["content"], names_of(b), strict=False)]
             yield pd.DataFrame({"id": b["id"], "clean": [redact(t, f) if f else t for t, f in zip(b["content"], found, strict=True)], "kinds": [sorted({k for _, _, k in f}) for f in found]})
 
     return run
@@ -281,6 +312,6 @@ def _scan(shared) -> Callable:  # noqa: ANN001
 
 def sanitise(records: DataFrame, scratch: Scratch, id_col: str = "id", content_col: str = "content") -> DataFrame:
     """``id, clean, kinds``: every row's text with typed placeholders, and the kinds found in it."""
-    shared = records.sparkSession.sparkContext.broadcast(learn(records, scratch, content_col))
     rows = records.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).where("id is not null and content is not null")
-    return rows.mapInPandas(_scan(shared), "id string, clean string, kinds array<string>")
+    named, names_of = _with_terms(rows, learn(records, scratch, content_col), scratch)
+    return named.mapInPandas(_scan(names_of), "id string, clean string, kinds array<string>")

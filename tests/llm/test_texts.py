@@ -87,6 +87,18 @@ def test_names_and_redaction():
     assert private.redact(text, private.find(text, names)) == "Ask [NAME] now: [EMAIL]."
 
 
+def test_rare_names_are_learned_at_any_size_and_by_join(spark, monkeypatch):
+    found = [(f"s{i}", f"We thank Mrs {stem}stad for it.") for i, stem in enumerate(["Alt", "Ber", "Cor", "Dun", "Elm", "Far"])]
+    found += [(f"g{i}", f"Mail zorah.box{i}@mail.example about it.") for i in range(3)] + [("both", "Then Zorah Norstad left, and ZORAH ALTSTAD too."), ("again", "Then Zorah Norstad left, and ZORAH ALTSTAD too.")]
+    filler = spark.range(40_000).selectExpr("concat('f', id) as id", "'the river is calm' as content", "'x' as extra")
+    table = spark.createDataFrame(found, "id string, content string").selectExpr("id", "content", "'x' as extra").unionByName(filler)
+    run = lambda: {r.id: (r.clean, r.kinds) for r in private.sanitise(table, Scratch(spark, "t")).where("id not like 'f%'").collect()}
+    few = run()
+    assert few["both"] == few["again"] == ("Then [NAME] left, and [NAME] too.", ["name"])
+    monkeypatch.setattr(private, "BROADCAST_TERMS", 0)
+    assert run() == few
+
+
 def test_names_are_learned_from_the_corpus(spark):
     rng, found = random.Random(1), []
     given, tails = ["miriam", "kenji", "olga", "bruno"], ["worth", "escu"]
