@@ -22,23 +22,23 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"))
-    near = neighbours.nearest(vectors, graph.withColumn("keep", F.transform(F.filter(F.slice(F.arrays_zip("nbr", "sim"), 1, 5), lambda x: x["sim"] >= 0.9), lambda x: x)).select("rid", F.col("keep.nbr").alias("nbr"), F.col("keep.sim").alias("sim")))
+    graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"), dimensions=64)
+    near = neighbours.nearest(graph, 5, 0.9)
     return near.select(F.least("id", "neighbour").alias("block_a"), F.greatest("id", "neighbour").alias("block_b")).distinct()
 
 
 def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 most similar block_ids of every usable embedding."""
-    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"))
-    return neighbours.nearest(vectors, graph).select(F.col("id").alias("block_id"), "rank", "neighbour", "similarity")
+    graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), Scratch(spark, "p3"), dimensions=64)
+    return neighbours.nearest(graph).select(F.col("id").alias("block_id"), "rank", "neighbour", "similarity")
 
 
 def p3_search(spark: SparkSession, folder: str) -> DataFrame:
     """Greedy graph search for every embedding of table ``embeddings`` whose vec_id is divisible by 20."""
     scratch = Scratch(spark, "p3")
-    vectors, graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), scratch)
-    queries = table(spark, folder, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").cast("string").alias("qid"), F.col("embedding").alias("vector"))
-    return neighbours.greedy_search(queries, vectors, graph, scratch).select(F.col("qid").cast("bigint").alias("vec_id"), "neighbour", "similarity")
+    graph = neighbours.neighbour_graph(table(spark, folder, "block_embeddings"), scratch, dimensions=64)
+    queries = table(spark, folder, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return neighbours.greedy_search(queries, graph, scratch).select(F.col("qid").cast("bigint").alias("vec_id"), "neighbour", "similarity")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,273 +1,485 @@
 """The most similar vectors of every vector, by NN-descent on blocks.
 
-1. Vectors are normalised; centroids of a bounded sample (``SAMPLE`` rows by hash) give cells, and a hash splits cells
-   into blocks of about ``BLOCK`` vectors, so a hot cell is many blocks.
-2. The first graph compares every block with the vectors that have its cell among their ``PLACES`` nearest.
-3. NN-descent: joins of the graph with itself give, for every block, the neighbours of its vectors in either direction and their
-   neighbours. Those that the block has not met are sent to it, once per block, and compared as matrices;
-   every vector keeps its ``KEPT`` best. Rounds end when fewer than ``SETTLED`` of the neighbours change, or after ``ROUNDS``.
-4. Vectors travel as 8-bit numbers with a scale; similarities of ``FINE`` and more are computed again exactly.
+1. Vectors are normalised and kept as 16-bit numbers with a scale (cosines are right to about 0.00001). Centroids of about
+   ``SAMPLE`` vectors, taken by the hash of the id, give cells; a cell of more than ``BLOCK`` vectors is cut by the sides of
+   fixed random planes, and a place that still holds more than ``HOT`` blocks' worth (copies) by hash. Every vector has its home block.
+2. The first graph: in its home block, and in the blocks of its next nearest cells up to ``PLACES``, a vector meets all members.
+3. NN-descent: the graph is joined with itself. A path from a vector over a neighbour to a neighbour's neighbour,
+   or between two neighbours of one vector, is followed if one of its edges is fresh, new since the last round. The
+   vector visits the home block of that candidate, unless it has been there, and meets the candidate with the whole block as a matrix product.
+   Both sides keep their ``KEPT`` best. Rounds end when fewer than ``SETTLED`` of the neighbours are fresh, or after ``ROUNDS``.
+
+Only fresh edges are expanded, a vector travels once to each block it visits, and blocks answer with improvements alone.
+A row number holds its block, so that the joins need no look-up of homes. What reaches the driver is the sample and one number a round.
 
 Recall against brute force is measured by the tests and in the README. Queries with other vectors use ``greedy_search`` over
-the graph. Defined results: null ids, null vectors and vectors that are not ``DIMENSIONS`` finite numbers, not all zero, are
-left out; an id in several rows is one vector (the smallest bytes); fewer vectors than asked for give fewer neighbours; ties go to any;
-an empty table gives an empty result; other columns are ignored.
+the graph. Defined results: null ids, null vectors and vectors that are not ``dimensions`` finite numbers, not all zero, are
+left out (``dimensions`` not given: the most frequent length); an id in several rows is one vector (the smallest bytes); fewer vectors
+than asked for give fewer neighbours; ties go to any; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.plans.scratch import Scratch
 
-DIMENSIONS, KEPT, BLOCK, PLACES = 64, 8, 4096, 3
-SAMPLE, MOST_CELLS, ROUNDS, SETTLED, FINE = 8192, 2048, 5, 0.03, 0.8
+#: Neighbours kept; vectors of a block; cells that a vector meets first; a place of more than so many blocks' worth is cut by hash.
+KEPT, BLOCK, PLACES, HOT = 8, 1024, 3, 4
+#: Vectors of the fitted sample; cells; planes that cut a cell; rounds; share of fresh neighbours that ends them.
+SAMPLE, MOST_CELLS, PLANES, ROUNDS, SETTLED = 32_768, 4096, 16, 6, 0.03
+#: Bits of a row number: member of a block, part of a place.
+MEMBER_BITS, PART_BITS = 21, 14
+#: Vectors of one task.
+TASK_VECTORS = 8192
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float32) for v in vectors])
-    peak = np.abs(x).max(axis=1, keepdims=True)
-    x = (x / peak).astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
-
+def _bytes(whole: np.ndarray) -> pa.Array:
+    """A binary column from a matrix of bytes, one row each."""
+    n, width = whole.shape
+    ends = np.arange(n + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(whole))])
 
-def usable(rows: DataFrame, id_col: str = "block_id", vector_col: str = "embedding") -> DataFrame:
-    """``id, vector`` of the rows with a usable vector."""
-    v = F.col(vector_col)
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    return rows.where(F.col(id_col).isNotNull() & (F.size(v) == DIMENSIONS) & finite & F.exists(v, lambda x: x != 0)).select(F.col(id_col).alias("id"), v.alias("vector"))
 
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The rows of a binary column, all of one length, as a matrix of bytes."""
+    parts = [c for c in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]) if len(c)]
+    out = []
+    for c in parts:
+        ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        out.append(np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(c), -1))
+    return np.concatenate(out) if len(out) != 1 else out[0]
 
-def centroids(rows: DataFrame, n: int, block: int = BLOCK) -> np.ndarray:
-    """Spherical k-means on the sample; at most ``MOST_CELLS`` centroids."""
-    found = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select("vector").collect()
-    x = _matrix(pd.Series([r[0] for r in found]))
-    k = min(max(1, -(-n // block)), MOST_CELLS, len(x))
-    c = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
-    for _ in range(8):
-        near = (x @ c.T).argmax(axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        size = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(size > 0, total / np.maximum(size, 1e-9), c).astype(np.float32)
-    return c
 
+def packed(x: np.ndarray) -> np.ndarray:
+    """Rows as bytes: a scale, then 16-bit numbers of the row brought to length 1."""
+    peak = np.abs(x).max(axis=1, keepdims=True)
+    x = (x / peak).astype(np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    scale = (np.abs(x).max(axis=1, keepdims=True) / 32767).astype(np.float32)
+    return np.concatenate((scale.view(np.uint8), np.rint(x / scale).astype(np.int16).view(np.uint8)), axis=1)
 
-def _place(shared) -> Callable:  # noqa: ANN001
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        k = min(PLACES, len(c))
-        for b in batches:
-            if not len(b):
-                continue
-            x = _matrix(b["vector"])
-            s = x @ c.T
-            near = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(k), (len(x), 1))
-            near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1), 1)
-            scale = np.abs(x).max(axis=1, keepdims=True) / 127
-            q = np.rint(x / scale).astype(np.int8)
-            yield pd.DataFrame({"id": b["id"], "vec": [v.tobytes() for v in x], "q": [a.tobytes() + v.tobytes() for a, v in zip(scale.astype(np.float32), q, strict=True)], "cells": list(near.astype(np.int32))})
 
-    return run
+def unpacked(data: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(data[:, 4:]).view(np.int16).astype(np.float32) * np.ascontiguousarray(data[:, :4]).view(np.float32)
 
 
-def _read(data: list[bytes]) -> np.ndarray:
-    whole = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
-    if whole.shape[1] == 4 * DIMENSIONS:
-        return np.ascontiguousarray(whole).view(np.float32)
-    return np.ascontiguousarray(whole[:, 4:]).view(np.int8).astype(np.float32) * np.ascontiguousarray(whole[:, :4]).view(np.float32)
-
-
-class _Block:
-    """A block's vectors with their best neighbours so far."""
-
-    def __init__(self, rids: list[int], data: list[bytes], state: list[bytes], fine: float | None) -> None:
-        self.rid, self.x = np.array(rids, np.int64), _read(data)
-        self.nbr, self.sim = np.full((len(rids), KEPT), -1, np.int64), np.full((len(rids), KEPT), -2, np.float32)
-        for i, held in enumerate(state):
-            if held:
-                n = len(held) // 12
-                a, s = np.frombuffer(held, np.int64, n), np.frombuffer(held, np.float32, n, 8 * n)
-                keep = s < fine if fine is not None else slice(None)
-                a, s = a[keep], s[keep]
-                self.nbr[i, : len(a)], self.sim[i, : len(a)] = a, s
-        self.before = self.nbr.copy()
-        self.order = np.argsort(self.rid)
-
-    def meet(self, rids: np.ndarray, data: list[bytes]) -> None:
-        y = _read(data)
-        at = np.searchsorted(self.rid[self.order], rids)
-        own = self.order[np.minimum(at, len(self.order) - 1)]
-        same = self.rid[own] == rids
-        for s in range(0, len(self.rid), 1024):
-            t = self.x[s : s + 1024] @ y.T
-            mine = same & (own >= s) & (own < s + 1024)
-            t[own[mine] - s, np.flatnonzero(mine)] = -2
-            i, j = np.nonzero(t > self.sim[s : s + 1024, -1:])
-            if len(i) > 4 * KEPT * len(t) and t.shape[1] > KEPT:
-                j = np.argpartition(-t, KEPT, axis=1)[:, :KEPT].ravel()
-                i = np.repeat(np.arange(len(t)), KEPT)
-                ok = t[i, j] > self.sim[s + i, -1]
-                i, j = i[ok], j[ok]
-            if len(i):
-                self._merge(s + i, rids[j], t[i, j])
-
-    def _merge(self, i: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> None:
-        rows = np.unique(i)
-        i = np.concatenate((np.repeat(rows, KEPT), i))
-        nbr, sim = np.concatenate((self.nbr[rows].ravel(), nbr)), np.concatenate((self.sim[rows].ravel(), sim))
-        o = np.lexsort((-sim, nbr, i))
-        i, nbr, sim = i[o], nbr[o], sim[o]
-        first = np.concatenate(([True], (i[1:] != i[:-1]) | (nbr[1:] != nbr[:-1]))) | (nbr < 0)
-        i, nbr, sim = i[first], nbr[first], sim[first]
-        o = np.lexsort((-sim, i))
-        i, nbr, sim = i[o], nbr[o], sim[o]
-        start = np.searchsorted(i, rows)
-        take = start[:, None] + np.arange(KEPT)
-        self.nbr[rows], self.sim[rows] = nbr[take], sim[take]
-
-    def out(self) -> pd.DataFrame:
-        fresh = (self.nbr[:, :, None] != self.before[:, None, :]).all(axis=2) & (self.nbr >= 0)
-        keep = self.nbr >= 0
-        nbr, sim = ([a[k] for a, k in zip(x, keep, strict=True)] for x in (self.nbr, self.sim))
-        state = [a.tobytes() + x.tobytes() for a, x in zip(nbr, sim, strict=True)]
-        return pd.DataFrame({"rid": self.rid, "nbr": nbr, "sim": sim, "state": state, "fresh": fresh.sum(axis=1).astype(np.int32)})
-
-
-def _compare(fine: float | None) -> Callable:
-    """Rows come sorted by block and kind: the block's own vectors (0), then those it meets (1)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, own, block = None, [], None
-
-        def made() -> _Block | None:
-            return _Block(*zip(*own, strict=True), fine) if own else None
+def _pack(dimensions: int) -> Callable:
+    """Usable rows of ``id, vector`` as ``id, q``; of equal ids in a batch one row is left."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            edge = np.flatnonzero(np.diff(b["block"].to_numpy())) + 1
-            for part in np.split(np.arange(len(b)), edge):
-                p = b.iloc[part]
-                if not len(p):
-                    continue
-                if p["block"].iloc[0] != current:
-                    block = block or made()
-                    if block is not None:
-                        yield block.out()
-                    current, own, block = p["block"].iloc[0], [], None
-                kind = p["kind"].to_numpy()
-                mine, met = p[kind == 0], p[kind == 1]
-                own += list(zip(mine["rid"], mine["data"], mine["state"], strict=True))
-                if len(met):
-                    block = block or made()
-                    if block is not None:
-                        block.meet(met["rid"].to_numpy(), met["data"].tolist())
-        block = block or made()
-        if block is not None:
-            yield block.out()
+            ids, vectors = b.column(0), b.column(1)
+            fits = np.asarray(vectors.value_lengths().fill_null(-1)) == dimensions
+            fits &= ~np.asarray(ids.is_null())
+            at = np.flatnonzero(fits)
+            if not len(at):
+                continue
+            flat = vectors.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(float("nan"))
+            x = np.asarray(flat).reshape(len(at), dimensions)
+            good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            at, q = at[good], packed(x[good]) if good.any() else np.zeros((0, 1), np.uint8)
+            first: dict[str, int] = {}
+            for i, name in enumerate(ids.take(pa.array(at)).to_pylist()):
+                if name not in first or q[i].tobytes() < q[first[name]].tobytes():
+                    first[name] = i
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array(list(first), pa.string()), _bytes(q[list(first.values())])], names=["id", "q"])
 
     return run
 
 
-#: ``state`` holds nbr and sim as bytes: null arrays on every row that is only met cost far more to hand to Python.
-GRAPH = "rid bigint, nbr array<bigint>, sim array<float>, state binary, fresh int"
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of every id; rows come sorted by id."""
+    last = None
+    for b in batches:
+        ids = b.column(0).to_pylist()
+        keep = [x != y for x, y in zip(ids, [last, *ids[:-1]], strict=True)]
+        last = ids[-1] if ids else last
+        yield b.filter(pa.array(keep, pa.bool_()))
+
+
+def vectors_of(rows: DataFrame, dimensions: int | None, id_col: str = "block_id", vector_col: str = "embedding") -> DataFrame:
+    """``id, q``: every id with a usable vector, once."""
+    rows = rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    if dimensions is None:
+        sizes = rows.where("size(vector) > 0").groupBy(F.size("vector").alias("d")).count()
+        found = sizes.agg(F.max_by("d", F.struct("count", "d"))).first()[0]
+        dimensions = found or 1
+    some = rows.where("id is not null and vector is not null").mapInArrow(_pack(dimensions), "id string, q binary")
+    return some.repartition("id").sortWithinPartitions("id", "q").mapInArrow(_once, "id string, q binary")
+
+
+@dataclass
+class Cells:
+    """The fitted index: centroids, planes, and how many planes cut each cell."""
+
+    centre: np.ndarray
+    plane: np.ndarray
+    mask: np.ndarray
+
+    @classmethod
+    def fit(cls, sample: np.ndarray, n: int, block: int) -> Cells:
+        """Spherical k-means on the sample; at most ``MOST_CELLS`` centroids."""
+        k = min(max(1, -(-n // block)), MOST_CELLS, len(sample))
+        c = sample[np.linspace(0, len(sample) - 1, k).astype(int)].copy()
+        for _ in range(8):
+            near = np.concatenate([(sample[s : s + 4096] @ c.T).argmax(axis=1) for s in range(0, len(sample), 4096)])
+            total = np.zeros_like(c)
+            np.add.at(total, near, sample)
+            size = np.linalg.norm(total, axis=1, keepdims=True)
+            c = np.where(size > 0, total / np.maximum(size, 1e-9), c).astype(np.float32)
+        held = np.bincount(near, minlength=k) * (n / len(sample))
+        bits = np.clip(np.ceil(np.log2(np.maximum(held, 1) / (2 * block))), 0, PLANES).astype(np.int64)
+        plane = np.random.default_rng(42).normal(size=(sample.shape[1], PLANES)).astype(np.float32)
+        return cls(c, plane, (np.int64(1) << bits) - 1)
+
+    def places(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The places of the nearest cells of each row, nearest first."""
+        most = min(most, len(self.centre))
+        s = x @ self.centre.T
+        near = np.argpartition(-s, most - 1, axis=1)[:, :most] if most < len(self.centre) else np.tile(np.arange(most), (len(x), 1))
+        near = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, 1), axis=1, kind="stable"), 1)
+        side = ((x[:, None, :] - self.centre[near]) @ self.plane > 0) @ (np.int64(1) << np.arange(PLANES)) if self.mask.any() else np.zeros(near.shape, np.int64)
+        return (near.astype(np.int64) << PLANES) | (side & self.mask[near])
 
 
-def _round(own: DataFrame, met: DataFrame, blocks: int, fine: float | None = None) -> DataFrame:
-    """``own``: block, rid, data, state; ``met``: block, rid, data."""
-    rows = own.select("block", F.lit(0).alias("kind"), "rid", "data", "state").unionByName(met.select("block", F.lit(1).alias("kind"), "rid", "data", F.lit(b"").alias("state")))
-    return rows.repartition(min(2 * blocks, 8000), "block").sortWithinPartitions("block", "kind").mapInPandas(_compare(fine), GRAPH)
+def _place(shared) -> Callable:  # noqa: ANN001
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                p = shared.value.places(unpacked(_matrix(b.column(1))), PLACES)
+                ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["id", "q", "places"])
+
+    return run
 
 
-def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The vectors ``rid, id, vec, q, block``, and the graph ``rid, nbr, sim``, best first."""
+def _hits(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few true cells of a matrix."""
+    flat = mask.ravel()
+    wide = flat[: len(flat) // 8 * 8].view(np.uint64)
+    at = np.flatnonzero(wide)
+    at = (at[:, None] * 8 + np.arange(8)).ravel()
+    at = np.concatenate((at[flat[at]], np.flatnonzero(flat[len(wide) * 8 :]) + len(wide) * 8))
+    return np.divmod(at, mask.shape[1])
+
+
+def best(row: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``KEPT`` best different neighbours of every row, sorted by row, best first."""
+    o = np.lexsort((-sim, nbr, row))
+    row, nbr, sim = row[o], nbr[o], sim[o]
+    first = np.concatenate(([True], (row[1:] != row[:-1]) | (nbr[1:] != nbr[:-1])))[: len(row)]
+    row, nbr, sim = row[first], nbr[first], sim[first]
+    o = np.lexsort((nbr, -sim, row))
+    row, nbr, sim = row[o], nbr[o], sim[o]
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))[: len(row)])
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row)))) < KEPT
+    return row[keep], nbr[keep], sim[keep]
+
+
+#: A neighbour in a list: its row number and the similarity.
+ENTRY = np.dtype([("nbr", "<i8"), ("sim", "<f4")])
+
+
+def _lists(row: np.ndarray, nbr: np.ndarray, sim: np.ndarray, n: int) -> pa.Array:
+    """Binary lists of entries for rows 0 to n - 1; ``row`` is sorted."""
+    whole = np.empty(len(row), ENTRY)
+    whole["nbr"], whole["sim"] = nbr, sim
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32) * ENTRY.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(whole)])
+
+
+def _entries(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, neighbour and similarity of all entries of a column of lists."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    whole = np.frombuffer(data, ENTRY, (ends[-1] - ends[0]) // ENTRY.itemsize, ends[0]) if data is not None and ends[-1] > ends[0] else np.zeros(0, ENTRY)
+    return np.repeat(np.arange(len(column)), np.diff(ends) // ENTRY.itemsize), whole["nbr"], whole["sim"]
+
+
+def _least(row: np.ndarray, sim: np.ndarray, n: int) -> np.ndarray:
+    """What a new neighbour of each row must exceed; ``row`` is sorted, best first."""
+    held = np.bincount(row, minlength=n)
+    out = np.full(n, -2, np.float32)
+    full = held == KEPT
+    out[full] = sim[np.cumsum(held)[full] - 1]
+    return out
+
+
+def _meet(x: np.ndarray, y: np.ndarray, x_least: np.ndarray, y_least: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of ``x`` and ``y`` that either side may want, with their similarities. ``same``: ``x`` and ``y`` are one."""
+    found = []
+    for s in range(0, len(x), 512):
+        t = x[s : s + 512] @ y.T
+        if same:
+            t[np.arange(len(t)), s + np.arange(len(t))] = -3
+        if t.shape[1] > KEPT and (bare := x_least[s : s + 512] == -2).any():
+            some = t[bare]
+            j = np.argpartition(-some, KEPT - 1, axis=1)[:, :KEPT]
+            found.append((np.repeat(s + np.flatnonzero(bare), KEPT), j.ravel(), np.take_along_axis(some, j, 1).ravel()))
+            mask = t > np.where(bare, np.float32(2), x_least[s : s + 512])[:, None]
+        else:
+            mask = t > x_least[s : s + 512, None]
+        if not same:
+            mask |= t > y_least
+        i, j = _hits(mask)
+        found.append((s + i, j, t[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers the rows of each block and compares them with each other. Rows come sorted by block."""
+    for block, t in _groups(batches, "block"):
+        data = _matrix(t.column("q"))
+        n, x = len(data), unpacked(data)
+        least = np.full(n, -2, np.float32)
+        row, nbr, sim = best(*_meet(x, x, least, least, True)) if n > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        real = sim > -3
+        row, nbr, sim = row[real], nbr[real], sim[real]
+        rid = (np.int64(block) << MEMBER_BITS) + np.arange(n)
+        columns = [pa.array(rid), pa.array(np.full(n, block, np.int64)), t.column("id").combine_chunks(), _bytes(data), t.column("others").combine_chunks()]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(_least(row, sim, n)), _lists(row, rid[nbr], sim, n)], names=["rid", "block", "id", "q", "others", "least", "list"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows with one key, one key after the other."""
+    held: list[pa.RecordBatch] = []
+    current = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.asarray(b.column(b.schema.get_field_index(key)))
+        edge = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            if k[a] != current and held:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = k[a]
+            held.append(b.slice(a, z - a))
+    if held:
+        yield current, pa.Table.from_batches(held)
+
+
+ANSWER = "rid bigint, home bigint, met bigint, list binary"
+
+
+def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's members (kind 0) and its visitors (kind 1), sorted by block and kind: what either side gains.
+
+    Visitors are met a batch at a time. A visitor always gets an answer, empty if it gains nothing, that says where it has been.
+    """
+    current, rid, x, least, own, ready = None, [], [], [], [], False
+
+    def answer() -> Iterator[pa.RecordBatch]:
+        if own:
+            row, nbr, sim = best(*(np.concatenate(c) for c in zip(*own, strict=True)))
+            u = np.unique(row)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[u]), pa.array(np.full(len(u), current)), pa.nulls(len(u), pa.int64()), _lists(np.searchsorted(u, row), nbr, sim, len(u))], names=["rid", "home", "met", "list"])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        block, kind, rids, leasts = (np.asarray(b.column(i)) for i in (0, 1, 2, 4))
+        data = unpacked(_matrix(b.column(3)))
+        change = np.flatnonzero((block[1:] != block[:-1]) | (kind[1:] != kind[:-1])) + 1
+        edge = [0, *change.tolist(), len(block)]
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            if block[a] != current:
+                if ready:
+                    yield from answer()
+                current, rid, x, least, own, ready = block[a], [], [], [], [], False
+            if kind[a] == 0:
+                rid.append(rids[a:z])
+                x.append(data[a:z])
+                least.append(leasts[a:z])
+                continue
+            if not ready:
+                ready = True
+                rid, x, least = (np.concatenate(c) if c else np.zeros((0, data.shape[1]) if c is x else 0, np.float32) for c in (rid, x, least))
+            if not len(rid):
+                continue
+            i, j, sim = _meet(data[a:z], x, leasts[a:z], least, False)
+            gain = sim > least[j]
+            own.append((j[gain], rids[a:z][i[gain]], sim[gain]))
+            if sum(len(c[0]) for c in own) > 4 * KEPT * len(rid):
+                own = [best(*(np.concatenate(c) for c in zip(*own, strict=True)))]
+            gain = sim > leasts[a:z][i]
+            row, nbr, sim = best(i[gain], rid[j[gain]], sim[gain])
+            n = z - a
+            yield pa.RecordBatch.from_arrays([pa.array(rids[a:z]), pa.array(rids[a:z] >> MEMBER_BITS), pa.array(np.full(n, current)), _lists(row, nbr, sim, n)], names=["rid", "home", "met", "list"])
+    if ready:
+        yield from answer()
+
+
+GRAPH = "rid bigint, nbr array<bigint>, sim array<float>, fresh array<boolean>, met array<bigint>, least float, list binary"
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per vector from its list so far (kind 0) and the answers to it (kind 1). Rows come sorted by home block."""
+    for _, t in _groups(batches, "home"):
+        rid, kind = np.asarray(t.column("rid")), np.asarray(t.column("kind"))
+        u = np.unique(rid[kind == 0])
+        at = np.searchsorted(u, rid)
+        row, nbr, sim = _entries(t.column("list").combine_chunks())
+        new = kind[row] == 1
+        before = np.stack((at[row[~new]], nbr[~new]), axis=1)
+        row, nbr, sim = best(at[row], nbr, sim)
+        n = len(u)
+        known = set(map(tuple, before.tolist()))
+        fresh = np.fromiter(((r, w) not in known for r, w in zip(row.tolist(), nbr.tolist(), strict=True)), bool, len(row)) if new.any() else np.zeros(len(row), bool)
+        ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=n)))).astype(np.int32))
+        lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values))
+        been_row, been = [], []
+        old = t.column("been").combine_chunks()
+        lengths = np.asarray(old.value_lengths().fill_null(0))
+        been_row.append(np.repeat(at, lengths))
+        been.append(np.asarray(old.flatten()))
+        met = t.column("met").combine_chunks()
+        some = ~np.asarray(met.is_null())
+        been_row.append(at[some])
+        been.append(np.asarray(met.drop_null()))
+        pairs = np.unique(np.stack((np.concatenate(been_row).astype(np.int64), np.concatenate(been).astype(np.int64)), axis=1), axis=0)
+        met_ends = pa.array(np.concatenate(([0], np.cumsum(np.bincount(pairs[:, 0], minlength=n)))).astype(np.int32))
+        columns = [pa.array(u), lists(nbr), lists(sim), lists(fresh), pa.ListArray.from_arrays(met_ends, pa.array(pairs[:, 1])), pa.array(_least(row, sim, n)), _lists(row, nbr, sim, n)]
+        yield pa.RecordBatch.from_arrays(columns, names=["rid", "nbr", "sim", "fresh", "met", "least", "list"])
+
+
+def _home(rid: Column) -> Column:
+    return F.shiftright(rid, MEMBER_BITS)
+
+
+@dataclass
+class Graph:
+    """``vectors``: rid, id, q, block; ``edges``: rid, nbr, sim (best first); the fitted cells, None without vectors."""
+
+    vectors: DataFrame
+    edges: DataFrame
+    cells: Cells | None
+
+
+def _blocks(placed: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """``block, id, q, others``: home block and the blocks of the next cells; places that hold too many are cut by hash."""
+    hot = scratch.cut(placed.groupBy(F.col("places")[0].alias("place")).count().where(F.col("count") > HOT * block), "hot")
+    number = lambda place, part: F.shiftleft(place, PART_BITS) + part
+    if hot.isEmpty():
+        blocks = F.transform("places", lambda p: number(p, F.lit(0).cast("long")))
+    else:
+        parts = hot.select("place", F.least(F.ceil(F.col("count") / block), F.lit(1 << PART_BITS)).alias("k"))
+        each = placed.select("id", F.posexplode("places").alias("n", "place")).join(parts, "place", "left")
+        part = F.coalesce(F.pmod(F.xxhash64("id", "n"), F.col("k")), F.lit(0)).cast("long")
+        each = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", number(F.col("place"), part).alias("b")))).alias("x"))
+        placed, blocks = placed.join(each, "id"), F.transform("x", lambda x: x["b"])
+    return placed.select(blocks.alias("blocks"), "id", "q").select(F.col("blocks")[0].alias("block"), "id", "q", F.expr("slice(blocks, 2, 9)").alias("others"))
+
+
+def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK, dimensions: int | None = None, id_col: str = "block_id", vector_col: str = "embedding") -> Graph:
+    """The vectors and, for each, its ``KEPT`` best neighbours found."""
     spark = rows.sparkSession
-    good = usable(rows)
-    n = good.count()
+    every = scratch.cut(vectors_of(rows, dimensions, id_col, vector_col), "every")
+    n = every.count()
     if not n:
-        return spark.createDataFrame([], "rid bigint, id string, vec binary, q binary, block int"), spark.createDataFrame([], "rid bigint, nbr array<bigint>, sim array<float>")
-    shared = spark.sparkContext.broadcast(centroids(good, n, block))
-    placed = good.mapInPandas(_place(shared), "id string, vec binary, q binary, cells array<int>")
-    placed = placed.groupBy("id").agg(F.min(F.struct("vec", "q", "cells")).alias("x")).select("id", "x.*").withColumn("rid", F.monotonically_increasing_id())
-    placed = scratch.cut(placed, "vectors")
-    sizes = dict(placed.groupBy(F.col("cells")[0].alias("cell")).count().collect())  # at most MOST_CELLS rows
-    base, known = 0, []
-    for cell in range(len(shared.value)):
-        k = max(1, -(-sizes.get(cell, 0) // block))
-        known.append((cell, base, k))
-        base += k
-    cells = F.broadcast(spark.createDataFrame(known, "cell int, base int, k int"))
-    # a split cell's vectors go to one part as members and to another as company, so that its parts meet
-    where, other = ((F.col("base") + F.pmod(F.xxhash64("rid", F.lit(salt)), F.col("k"))).cast("int").alias("block") for salt in (0, 1))
-    homes = scratch.cut(placed.select("rid", F.col("cells")[0].alias("cell")).join(cells, "cell").select("rid", where), "homes")
-    own = placed.select("rid", F.col("cells")[0].alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(where, "rid", "data")
-    met = placed.select("rid", F.explode("cells").alias("cell"), F.col("q").alias("data")).join(cells, "cell").select(other, "rid", "data")
-    seen = scratch.cut(met.select("block", "rid"), "seen")
-    graph = scratch.cut(_round(own.withColumn("state", F.lit(b"")), met, base), "graph")
+        return Graph(spark.createDataFrame([], "rid bigint, id string, q binary, block bigint"), spark.createDataFrame([], "rid bigint, nbr array<bigint>, sim array<float>"), None)
+    share = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < min(1 << 30, (SAMPLE << 30) // n + 1)
+    sample = np.stack([np.frombuffer(r[0], np.uint8) for r in every.where(share).select("q").collect()] or [np.frombuffer(every.head()["q"], np.uint8)])
+    cells = Cells.fit(unpacked(sample), n, block)
+    placed = scratch.cut(every.mapInArrow(_place(spark.sparkContext.broadcast(cells)), "id string, q binary, places array<bigint>"), "placed")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_VECTORS))
+    homes = _blocks(placed, scratch, block).repartition(tasks, "block").sortWithinPartitions("block", "id")
+    members = scratch.cut(homes.mapInArrow(_members, "rid bigint, block bigint, id string, q binary, others array<bigint>, least float, list binary"), "members")
+    scratch.drop(every, placed)
+
+    def meet(visits: DataFrame, now: DataFrame) -> DataFrame:
+        """Answers to ``block, rid, q, least``."""
+        own = members.select("block", F.lit(0).alias("kind"), "rid", "q") if now is members else members.select("block", F.lit(0).alias("kind"), "rid", "q").join(now.select("rid", "least"), "rid")
+        own = members.select("block", F.lit(0).alias("kind"), "rid", "q", "least") if now is members else own.select("block", "kind", "rid", "q", "least")
+        both = own.unionByName(visits.select("block", F.lit(1).alias("kind"), "rid", "q", "least"))
+        return scratch.cut(both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_visits, ANSWER), "answers")
+
+    def merged(lists: DataFrame, answers: DataFrame) -> DataFrame:
+        """``lists``: rid, list, been."""
+        old = lists.select("rid", _home(F.col("rid")).alias("home"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("met"), "list", "been")
+        new = answers.select("rid", "home", F.lit(1).alias("kind"), "met", "list", F.array().cast("array<bigint>").alias("been"))
+        return scratch.cut(old.unionByName(new).repartition(tasks, "home").sortWithinPartitions("home").mapInArrow(_merge, GRAPH), "graph")
+
+    answers = meet(members.select(F.explode("others").alias("block"), "rid", "q", "least"), members)
+    graph = merged(members.select("rid", "list", F.array("block").alias("been")), answers)
+    scratch.drop(answers)
+    everything = True  # in the first round every edge is fresh
     for _ in range(ROUNDS):
-        edges = graph.select("rid", F.explode("nbr").alias("w"))
-        either = edges.unionByName(edges.select(F.col("w").alias("rid"), F.col("rid").alias("w")))
-        once = either.join(homes, "rid").select("block", "w").distinct()
-        once = scratch.cut(once, "once")
-        twice = once.join(edges, once["w"] == edges["rid"]).select("block", edges["w"].alias("rid"))
-        pool = twice.unionByName(once.select("block", F.col("w").alias("rid"))).distinct()
-        new = scratch.cut(pool.join(seen, ["block", "rid"], "left_anti"), "new")
-        seen = seen.unionByName(new)
-        met = new.join(placed.select("rid", F.col("q").alias("data")), "rid")
-        state = own.join(graph.select("rid", "state"), "rid")
-        better = scratch.cut(_round(state, met, base), "graph")
-        scratch.drop(graph, once)
-        graph = better
-        changed = graph.agg(F.sum("fresh") / F.sum(F.size("nbr"))).first()[0] or 0
+        fresh = F.transform("fresh", lambda x: F.lit(True)) if everything else F.col("fresh")
+        paths = graph.select("rid", "nbr", fresh.alias("fresh"))
+        homes_of = F.array_distinct(F.transform("nbr", _home))
+        fresh_homes = F.array_distinct(F.transform(F.filter(F.arrays_zip("nbr", "fresh"), lambda e: e["fresh"]), lambda e: _home(e["nbr"])))
+        around = paths.select("rid", homes_of.alias("homes"), fresh_homes.alias("fresh_homes"))
+        edges = paths.select(F.col("rid").alias("v"), F.explode(F.arrays_zip("nbr", "fresh")).alias("e")).select("v", F.col("e.nbr").alias("w"), F.col("e.fresh").alias("f"))
+        open_ = F.when(F.col("f"), F.col("homes")).otherwise(F.col("fresh_homes"))
+        over = edges.join(around, F.col("w") == F.col("rid")).select("v", F.explode(open_).alias("block"))
+        beside = paths.select("nbr", "fresh", homes_of.alias("homes"), fresh_homes.alias("fresh_homes")).select(F.explode(F.arrays_zip("nbr", "fresh")).alias("e"), "homes", "fresh_homes")
+        beside = beside.select(F.col("e.nbr").alias("v"), F.col("e.fresh").alias("f"), "homes", "fresh_homes").select("v", F.explode(open_).alias("block"))
+        wanted = over.unionByName(beside).where(F.col("block") != _home(F.col("v"))).distinct()
+        known = members.select("rid", "q").join(graph.select("rid", "met", "least"), "rid")
+        visits = wanted.join(known, F.col("v") == F.col("rid")).where(~F.array_contains("met", F.col("block"))).select("block", "rid", "q", "least")
+        answers = meet(visits, graph)
+        better = merged(graph.select("rid", "list", F.col("met").alias("been")), answers)
+        scratch.drop(answers, graph)
+        graph, everything = better, False
+        changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("nbr"))).first()[0] or 0
         if changed < SETTLED:
             break
-    close = graph.select("rid", F.explode(F.filter(F.arrays_zip("nbr", "sim"), lambda x: x["sim"] >= FINE)).alias("x")).select("rid", F.col("x.nbr").alias("w"))
-    close = scratch.cut(close, "close")
-    fine = close.select("rid").distinct().join(homes, "rid").join(placed.select("rid", F.col("vec").alias("data")), "rid")
-    state = fine.join(graph.select("rid", "state"), "rid")
-    met = close.join(homes, "rid").select("block", F.col("w").alias("rid")).distinct().join(placed.select("rid", F.col("vec").alias("data")), "rid")
-    exact = scratch.cut(_round(state, met, base, FINE), "exact")
-    graph = graph.join(exact.select("rid"), "rid", "left_anti").unionByName(exact).select("rid", "nbr", "sim")
-    return placed.join(homes, "rid").select("rid", "id", "vec", "q", "block"), graph
-
-
-def nearest(vectors: DataFrame, graph: DataFrame, k: int = 5) -> DataFrame:
-    """``id, rank, neighbour, similarity`` of the ``k`` best, best first."""
-    top = graph.select("rid", F.posexplode(F.slice(F.arrays_zip("nbr", "sim"), 1, k)).alias("rank", "x")).select("rid", (F.col("rank") + 1).alias("rank"), F.col("x.nbr").alias("w"), F.col("x.sim").alias("similarity"))
-    names = vectors.select("rid", "id")
+    return Graph(members.select("rid", "id", "q", "block"), graph.select("rid", "nbr", "sim"), cells)
+
+
+def nearest(graph: Graph, k: int = 5, least: float | None = None) -> DataFrame:
+    """``id, rank, neighbour, similarity`` of the ``k`` best, best first; ``least`` leaves out less similar ones."""
+    top = graph.edges.select("rid", F.posexplode(F.slice(F.arrays_zip("nbr", "sim"), 1, k)).alias("rank", "x"))
+    if least is not None:
+        top = top.where(F.col("x.sim") >= least)
+    top = top.select("rid", (F.col("rank") + 1).alias("rank"), F.col("x.nbr").alias("w"), F.col("x.sim").alias("similarity"))
+    names = graph.vectors.select("rid", "id")
     return top.join(names, "rid").join(names.select(F.col("rid").alias("w"), F.col("id").alias("neighbour")), "w").select("id", "rank", "neighbour", "similarity")
 
 
-def greedy_search(queries: DataFrame, vectors: DataFrame, graph: DataFrame, scratch: Scratch, k: int = 5, beam: int = 32, steps: int = 12) -> DataFrame:
+def greedy_search(queries: DataFrame, graph: Graph, scratch: Scratch, k: int = 5, beam: int = 32, entries: int = 8) -> DataFrame:
     """``qid, neighbour, similarity`` for other vectors ``qid, vector``, by greedy search over the graph.
 
-    Every step joins the beam with its neighbours, drops what was met before, measures the rest and keeps the ``beam`` best; it ends when
-    no beam changes. The search starts from one vector of every block, at most ``MOST_CELLS`` of them.
+    A query enters at one vector of each of its ``entries`` nearest cells. Every step joins the beam with its neighbours, drops what was
+    met before, measures the rest and keeps the ``beam`` best; the search ends when no beam changes.
     """
-    dot = F.pandas_udf(lambda a, b: pd.Series((_read(a.tolist()) * _read(b.tolist())).sum(axis=1)) if len(a) else pd.Series([], dtype="float32"), T.FloatType())
+    spark = queries.sparkSession
+    if graph.cells is None:
+        return spark.createDataFrame([], "qid string, neighbour string, similarity float")
+    vectors, shared = graph.vectors, spark.sparkContext.broadcast(graph.cells)
+    dot = F.pandas_udf(lambda a, b: pd.Series((unpacked(_matrix(pa.array(a, pa.binary()))) * unpacked(_matrix(pa.array(b, pa.binary())))).sum(axis=1)) if len(a) else pd.Series([], dtype="float32"), T.FloatType())
 
-    def unit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                yield pd.DataFrame({"qid": b["id"], "qvec": [v.tobytes() for v in _matrix(b["vector"])]})
-
-    q = scratch.cut(usable(queries, "qid", "vector").mapInPandas(unit, "qid string, qvec binary").dropDuplicates(["qid"]), "queries")
-    starts = vectors.groupBy("block").agg(F.min("rid").alias("rid")).orderBy(F.xxhash64("block")).limit(MOST_CELLS).select("rid")
-    new = q.select("qid").join(F.broadcast(starts), how="cross")  # a stated query set against a bounded set of starts
+            if b.num_rows:
+                p = shared.value.places(unpacked(_matrix(b.column(1))), entries) >> PLANES
+                ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["qid", "cells"])
+
+    q = scratch.cut(vectors_of(queries, graph.cells.centre.shape[1], "qid", "vector").withColumnsRenamed({"id": "qid", "q": "qvec"}), "queries")
+    starts = vectors.groupBy(F.shiftright("block", PART_BITS + PLANES).alias("cell")).agg(F.min("rid").alias("rid"))
+    new = q.mapInArrow(enter, "qid string, cells array<bigint>").select("qid", F.explode("cells").alias("cell")).join(starts, "cell").select("qid", "rid")
     beams = None
-    for _ in range(steps):
-        met = new.join(vectors.select("rid", "vec"), "rid").join(q, "qid").select("qid", "rid", dot("qvec", "vec").alias("sim"), F.lit(True).alias("fresh"))
+    while True:
+        met = new.join(vectors.select("rid", "q"), "rid").join(q, "qid").select("qid", "rid", dot("qvec", "q").alias("sim"), F.lit(True).alias("fresh"))
         every = met if beams is None else met.unionByName(beams.withColumn("fresh", F.lit(False)))
-        best = F.slice(F.sort_array(F.collect_list(F.struct("sim", "rid", "fresh")), asc=False), 1, beam)
-        beams = scratch.cut(every.groupBy("qid").agg(best.alias("b")).select("qid", F.explode("b").alias("x")).select("qid", "x.rid", "x.sim", "x.fresh"), "beam")
+        best_ = F.slice(F.sort_array(F.collect_list(F.struct("sim", "rid", "fresh")), asc=False), 1, beam)
+        beams = scratch.cut(every.groupBy("qid").agg(best_.alias("b")).select("qid", F.explode("b").alias("x")).select("qid", "x.rid", "x.sim", "x.fresh"), "beam")
         if beams.where("fresh").isEmpty():
             break
-        new = beams.where("fresh").join(graph, "rid").select("qid", F.explode("nbr").alias("rid")).distinct()
+        new = beams.where("fresh").join(graph.edges, "rid").select("qid", F.explode("nbr").alias("rid")).distinct()
         beams = beams.drop("fresh")
         new = new.join(beams, ["qid", "rid"], "left_anti")
     last = beams.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "rid")), asc=False), 1, k).alias("b"))

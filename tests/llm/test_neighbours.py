@@ -19,9 +19,9 @@ def table(spark, n=900):
 
 def test_recall_and_close_pairs(spark):
     df, x = table(spark)
-    vectors, graph = neighbours.neighbour_graph(df, Scratch(spark, "t"), block=150)
+    graph = neighbours.neighbour_graph(df, Scratch(spark, "t"), block=150, dimensions=64)
     found = {}
-    for r in neighbours.nearest(vectors, graph).collect():
+    for r in neighbours.nearest(graph).collect():
         found.setdefault(int(r.id[1:]), set()).add(int(r.neighbour[1:]))
     s = x @ x.T
     np.fill_diagonal(s, -2)
@@ -35,12 +35,12 @@ def test_recall_and_close_pairs(spark):
 def test_greedy_search(spark):
     df, x = table(spark)
     scratch = Scratch(spark, "t")
-    vectors, graph = neighbours.neighbour_graph(df, scratch, block=150)
+    graph = neighbours.neighbour_graph(df, scratch, block=150, dimensions=64)
     rng = np.random.default_rng(1)
     q = x[:40] + 0.02 * rng.normal(size=(40, 64))
     queries = spark.createDataFrame([(f"q{i}", [float(a) for a in v]) for i, v in enumerate(q)], "qid string, vector array<float>")
     found = {}
-    for r in neighbours.greedy_search(queries, vectors, graph, scratch).collect():
+    for r in neighbours.greedy_search(queries, graph, scratch).collect():
         found.setdefault(int(r.qid[1:]), set()).add(int(r.neighbour[1:]))
     best = np.argsort(-(q @ x.T), axis=1)[:, :5]
     assert np.mean([len(found[i] & set(best[i])) / 5 for i in range(40)]) >= 0.9
@@ -49,7 +49,7 @@ def test_greedy_search(spark):
 def test_few_and_no_vectors(spark):
     df, _ = table(spark)
     few = df.where("block_id in ('v0000', 'v0001', 'zero')")
-    vectors, graph = neighbours.neighbour_graph(few, Scratch(spark, "t"))
-    assert {(r.id, r.neighbour) for r in neighbours.nearest(vectors, graph).collect()} == {("v0000", "v0001"), ("v0001", "v0000")}
-    vectors, graph = neighbours.neighbour_graph(df.limit(0), Scratch(spark, "t"))
-    assert neighbours.nearest(vectors, graph).count() == 0
+    graph = neighbours.neighbour_graph(few, Scratch(spark, "t"))
+    assert {(r.id, r.neighbour) for r in neighbours.nearest(graph).collect()} == {("v0000", "v0001"), ("v0001", "v0000")}
+    graph = neighbours.neighbour_graph(df.limit(0), Scratch(spark, "t"))
+    assert neighbours.nearest(graph).count() == 0
