@@ -24,11 +24,10 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quillstone.plans.scratch import Scratch
 
@@ -358,6 +357,20 @@ def _home(rid: Column) -> Column:
     return F.shiftright(rid, MEMBER_BITS)
 
 
+def _answers(own: DataFrame, visits: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
+    """Answers to visits; both have ``block, rid, q, least``."""
+    columns = ["rid", "q", "least"]
+    both = own.select("block", F.lit(0).alias("kind"), *columns).unionByName(visits.select("block", F.lit(1).alias("kind"), *columns))
+    return scratch.cut(both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_visits, ANSWER), "answers")
+
+
+def _merged(lists: DataFrame, answers: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
+    """Lists ``rid, list, been`` with what the answers add."""
+    old = lists.select("rid", _home(F.col("rid")).alias("home"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("met"), "list", "been")
+    new = answers.select("rid", "home", F.lit(1).alias("kind"), "met", "list", F.array().cast("array<bigint>").alias("been"))
+    return scratch.cut(old.unionByName(new).repartition(tasks, "home").sortWithinPartitions("home").mapInArrow(_merge, GRAPH), "graph")
+
+
 @dataclass
 class Graph:
     """``vectors``: rid, id, q, block; ``edges``: rid, nbr, sim (best first); the fitted cells, None without vectors."""
@@ -398,21 +411,8 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK, dimen
     members = scratch.cut(homes.mapInArrow(_members, "rid bigint, block bigint, id string, q binary, others array<bigint>, least float, list binary"), "members")
     scratch.drop(every, placed)
 
-    def meet(visits: DataFrame, now: DataFrame) -> DataFrame:
-        """Answers to ``block, rid, q, least``."""
-        own = members.select("block", F.lit(0).alias("kind"), "rid", "q") if now is members else members.select("block", F.lit(0).alias("kind"), "rid", "q").join(now.select("rid", "least"), "rid")
-        own = members.select("block", F.lit(0).alias("kind"), "rid", "q", "least") if now is members else own.select("block", "kind", "rid", "q", "least")
-        both = own.unionByName(visits.select("block", F.lit(1).alias("kind"), "rid", "q", "least"))
-        return scratch.cut(both.repartition(tasks, "block").sortWithinPartitions("block", "kind").mapInArrow(_visits, ANSWER), "answers")
-
-    def merged(lists: DataFrame, answers: DataFrame) -> DataFrame:
-        """``lists``: rid, list, been."""
-        old = lists.select("rid", _home(F.col("rid")).alias("home"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("met"), "list", "been")
-        new = answers.select("rid", "home", F.lit(1).alias("kind"), "met", "list", F.array().cast("array<bigint>").alias("been"))
-        return scratch.cut(old.unionByName(new).repartition(tasks, "home").sortWithinPartitions("home").mapInArrow(_merge, GRAPH), "graph")
-
-    answers = meet(members.select(F.explode("others").alias("block"), "rid", "q", "least"), members)
-    graph = merged(members.select("rid", "list", F.array("block").alias("been")), answers)
+    answers = _answers(members, members.select(F.explode("others").alias("block"), "rid", "q", "least"), tasks, scratch)
+    graph = _merged(members.select("rid", "list", F.array("block").alias("been")), answers, tasks, scratch)
     scratch.drop(answers)
     everything = True  # in the first round every edge is fresh
     for _ in range(ROUNDS):
@@ -429,8 +429,9 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK, dimen
         wanted = over.unionByName(beside).where(F.col("block") != _home(F.col("v"))).distinct()
         known = members.select("rid", "q").join(graph.select("rid", "met", "least"), "rid")
         visits = wanted.join(known, F.col("v") == F.col("rid")).where(~F.array_contains("met", F.col("block"))).select("block", "rid", "q", "least")
-        answers = meet(visits, graph)
-        better = merged(graph.select("rid", "list", F.col("met").alias("been")), answers)
+        own = members.select("block", "rid", "q").join(graph.select("rid", "least"), "rid")
+        answers = _answers(own, visits, tasks, scratch)
+        better = _merged(graph.select("rid", "list", F.col("met").alias("been")), answers, tasks, scratch)
         scratch.drop(answers, graph)
         graph, everything = better, False
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("nbr"))).first()[0] or 0
@@ -449,38 +450,46 @@ def nearest(graph: Graph, k: int = 5, least: float | None = None) -> DataFrame:
     return top.join(names, "rid").join(names.select(F.col("rid").alias("w"), F.col("id").alias("neighbour")), "w").select("id", "rank", "neighbour", "similarity")
 
 
-def greedy_search(queries: DataFrame, graph: Graph, scratch: Scratch, k: int = 5, beam: int = 32, entries: int = 8) -> DataFrame:
-    """``qid, neighbour, similarity`` for other vectors ``qid, vector``, by greedy search over the graph.
+def greedy_search(queries: DataFrame, graph: Graph, scratch: Scratch, k: int = 5, entries: int = 8) -> DataFrame:
+    """``qid, neighbour, similarity`` for other vectors ``qid, vector``, by greedy search over the graph; ``k`` is at most ``KEPT``.
 
-    A query enters at one vector of each of its ``entries`` nearest cells. Every step joins the beam with its neighbours, drops what was
-    met before, measures the rest and keeps the ``beam`` best; the search ends when no beam changes.
+    A query enters at the blocks of its ``entries`` nearest cells and keeps its ``KEPT`` best. Every step goes to the graph neighbours of
+    what is new among them and meets these with their blocks, each block once; the search ends when no step leads to another block.
     """
+    if k > KEPT:
+        raise ValueError(f"k is at most {KEPT}")
     spark = queries.sparkSession
     if graph.cells is None:
         return spark.createDataFrame([], "qid string, neighbour string, similarity float")
-    vectors, shared = graph.vectors, spark.sparkContext.broadcast(graph.cells)
-    dot = F.pandas_udf(lambda a, b: pd.Series((unpacked(_matrix(pa.array(a, pa.binary()))) * unpacked(_matrix(pa.array(b, pa.binary())))).sum(axis=1)) if len(a) else pd.Series([], dtype="float32"), T.FloatType())
+    shared = spark.sparkContext.broadcast(graph.cells)
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                p = shared.value.places(unpacked(_matrix(b.column(1))), entries) >> PLANES
+                p = shared.value.places(unpacked(_matrix(b.column(1))), entries)
                 ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["qid", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["id", "q", "places"])
 
-    q = scratch.cut(vectors_of(queries, graph.cells.centre.shape[1], "qid", "vector").withColumnsRenamed({"id": "qid", "q": "qvec"}), "queries")
-    starts = vectors.groupBy(F.shiftright("block", PART_BITS + PLANES).alias("cell")).agg(F.min("rid").alias("rid"))
-    new = q.mapInArrow(enter, "qid string, cells array<bigint>").select("qid", F.explode("cells").alias("cell")).join(starts, "cell").select("qid", "rid")
-    beams = None
+    found = scratch.cut(vectors_of(queries, graph.cells.centre.shape[1], "qid", "vector").mapInArrow(enter, "id string, q binary, places array<bigint>"), "found")
+    n = found.count()
+    group = F.pmod(F.xxhash64("id"), F.lit(max(1, n // TASK_VECTORS)))
+    number = F.row_number().over(Window.partitionBy("g").orderBy("id")).cast("long")
+    q = scratch.cut(found.withColumn("g", group).withColumn("rid", F.shiftleft(F.col("g"), MEMBER_BITS) + number - 1).drop("g"), "queries")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_VECTORS))
+    blocks = graph.vectors.select("block").distinct().withColumn("place", F.shiftright("block", PART_BITS))
+    visits = q.select("rid", "q", F.explode("places").alias("place")).join(blocks, "place").select("block", "rid", "q", F.lit(-2.0).cast("float").alias("least"))
+    state = q.select("rid", F.lit(b"").alias("list"), F.array().cast("array<bigint>").alias("met"))
     while True:
-        met = new.join(vectors.select("rid", "q"), "rid").join(q, "qid").select("qid", "rid", dot("qvec", "q").alias("sim"), F.lit(True).alias("fresh"))
-        every = met if beams is None else met.unionByName(beams.withColumn("fresh", F.lit(False)))
-        best_ = F.slice(F.sort_array(F.collect_list(F.struct("sim", "rid", "fresh")), asc=False), 1, beam)
-        beams = scratch.cut(every.groupBy("qid").agg(best_.alias("b")).select("qid", F.explode("b").alias("x")).select("qid", "x.rid", "x.sim", "x.fresh"), "beam")
-        if beams.where("fresh").isEmpty():
+        visits = scratch.cut(visits, "visits")
+        if visits.isEmpty():
             break
-        new = beams.where("fresh").join(graph.edges, "rid").select("qid", F.explode("nbr").alias("rid")).distinct()
-        beams = beams.drop("fresh")
-        new = new.join(beams, ["qid", "rid"], "left_anti")
-    last = beams.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "rid")), asc=False), 1, k).alias("b"))
-    return last.select("qid", F.explode("b").alias("x")).join(vectors.select("rid", "id"), F.col("x.rid") == F.col("rid")).select("qid", F.col("id").alias("neighbour"), F.col("x.sim").alias("similarity"))
+        own = graph.vectors.join(visits.select("block").distinct(), "block", "left_semi").withColumn("least", F.lit(2.0).cast("float"))
+        state = _merged(state.select("rid", "list", F.col("met").alias("been")), _answers(own, visits, tasks, scratch), tasks, scratch)
+        new = state.select("rid", F.explode(F.filter(F.arrays_zip("nbr", "fresh"), lambda e: e["fresh"])).alias("e")).select(F.col("rid").alias("v"), F.col("e.nbr").alias("w"))
+        steps = new.join(graph.edges.select(F.col("rid").alias("w"), F.explode("nbr").alias("u")), "w").select("v", _home(F.col("u")).alias("block")).distinct()
+        known = q.select("rid", "q").join(state.select("rid", "met", "least"), "rid")
+        visits = steps.join(known, F.col("v") == F.col("rid")).where(~F.array_contains("met", F.col("block"))).select("block", "rid", "q", "least")
+    if "nbr" not in state.columns:
+        return spark.createDataFrame([], "qid string, neighbour string, similarity float")
+    top = state.select("rid", F.explode(F.slice(F.arrays_zip("nbr", "sim"), 1, k)).alias("x")).join(q.select("rid", F.col("id").alias("qid")), "rid")
+    return top.select("qid", F.col("x.nbr").alias("w"), F.col("x.sim").alias("similarity")).join(graph.vectors.select(F.col("rid").alias("w"), F.col("id").alias("neighbour")), "w").select("qid", "neighbour", "similarity")

@@ -53,3 +53,17 @@ def test_few_and_no_vectors(spark):
     assert {(r.id, r.neighbour) for r in neighbours.nearest(graph).collect()} == {("v0000", "v0001"), ("v0001", "v0000")}
     graph = neighbours.neighbour_graph(df.limit(0), Scratch(spark, "t"))
     assert neighbours.nearest(graph).count() == 0
+
+
+def test_copies_fill_a_place_and_other_lengths(spark):
+    """A third of all rows is one vector; the length of vectors is taken from the data."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 384))
+    x[:200] = x[0]
+    rows = [(f"v{i:03}", [float(a) for a in v]) for i, v in enumerate(x)] + [("short", [1.0] * 64)]
+    df = spark.createDataFrame(rows, "block_id string, embedding array<float>")
+    graph = neighbours.neighbour_graph(df, Scratch(spark, "t"), block=20)
+    found = neighbours.nearest(graph).collect()
+    assert graph.vectors.groupBy("block").count().agg({"count": "max"}).first()[0] < 100
+    assert len(found) == 5 * 600
+    assert all(r.similarity > 0.9999 and r.neighbour < "v200" for r in found if r.id < "v200")
