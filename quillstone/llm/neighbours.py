@@ -246,8 +246,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         real = sim > -3
         row, nbr, sim = row[real], nbr[real], sim[real]
         rid = (np.int64(block) << MEMBER_BITS) + np.arange(n)
-        columns = [pa.array(rid), pa.array(np.full(n, block, np.int64)), t.column("id").combine_chunks(), _bytes(data), t.column("others").combine_chunks()]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(_least(row, sim, n)), _lists(row, rid[nbr], sim, n)], names=["rid", "block", "id", "q", "others", "least", "list"])
+        columns = [pa.array(rid), t.column("id").combine_chunks(), _bytes(data), t.column("others").combine_chunks()]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(_least(row, sim, n)), _lists(row, rid[nbr], sim, n)], names=["rid", "id", "q", "others", "least", "list"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.Table]]:
@@ -408,11 +408,12 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK, dimen
     placed = scratch.cut(every.mapInArrow(_place(spark.sparkContext.broadcast(cells)), "id string, q binary, places array<bigint>"), "placed")
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // TASK_VECTORS))
     homes = _blocks(placed, scratch, block).repartition(tasks, "block").sortWithinPartitions("block", "id")
-    members = scratch.cut(homes.mapInArrow(_members, "rid bigint, block bigint, id string, q binary, others array<bigint>, least float, list binary"), "members")
+    members = scratch.cut(homes.mapInArrow(_members, "rid bigint, id string, q binary, others array<bigint>, least float, list binary"), "members")
     scratch.drop(every, placed)
 
-    answers = _answers(members, members.select(F.explode("others").alias("block"), "rid", "q", "least"), tasks, scratch)
-    graph = _merged(members.select("rid", "list", F.array("block").alias("been")), answers, tasks, scratch)
+    home = _home(F.col("rid")).alias("block")
+    answers = _answers(members.select(home, "rid", "q", "least"), members.select(F.explode("others").alias("block"), "rid", "q", "least"), tasks, scratch)
+    graph = _merged(members.select("rid", "list", F.array(home).alias("been")), answers, tasks, scratch)
     scratch.drop(answers)
     everything = True  # in the first round every edge is fresh
     for _ in range(ROUNDS):
@@ -429,15 +430,15 @@ def neighbour_graph(rows: DataFrame, scratch: Scratch, block: int = BLOCK, dimen
         wanted = over.unionByName(beside).where(F.col("block") != _home(F.col("v"))).distinct()
         known = members.select("rid", "q").join(graph.select("rid", "met", "least"), "rid")
         visits = wanted.join(known, F.col("v") == F.col("rid")).where(~F.array_contains("met", F.col("block"))).select("block", "rid", "q", "least")
-        own = members.select("block", "rid", "q").join(graph.select("rid", "least"), "rid")
-        answers = _answers(own, visits, tasks, scratch)
+        own = members.select("rid", "q").join(graph.select("rid", "least"), "rid")  # its exchange of members is that of ``known``
+        answers = _answers(own.select(home, "rid", "q", "least"), visits, tasks, scratch)
         better = _merged(graph.select("rid", "list", F.col("met").alias("been")), answers, tasks, scratch)
         scratch.drop(answers, graph)
         graph, everything = better, False
         changed = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("nbr"))).first()[0] or 0
         if changed < SETTLED:
             break
-    return Graph(members.select("rid", "id", "q", "block"), graph.select("rid", "nbr", "sim"), cells)
+    return Graph(members.select("rid", "id", "q", home), graph.select("rid", "nbr", "sim"), cells)
 
 
 def nearest(graph: Graph, k: int = 5, least: float | None = None) -> DataFrame:
