@@ -12,12 +12,14 @@ from quillstone.sources.tables import table
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return copies.copies(copies.record_keys(table(spark, folder, "blocks")), Scratch(spark, "p2"))[1]
+    scratch = Scratch(spark, "p2")
+    return copies.copies(copies.record_keys(table(spark, folder, "blocks"), scratch), scratch)[1]
 
 
 def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Every record that has copies, with their number."""
-    groups, _ = copies.copies(copies.record_keys(table(spark, folder, "blocks")), Scratch(spark, "p2"))
+    scratch = Scratch(spark, "p2")
+    groups, _ = copies.copies(copies.record_keys(table(spark, folder, "blocks"), scratch), scratch)
     return groups.select(F.col("keep").alias("keep_id"), (F.col("n") - 1).alias("n_copies"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 import unicodedata
 
 WORD = re.compile(r"[^\W_]+")
-#: A labelled field: a label of words, a colon or equals sign, a value; a bullet may precede it.
-LABELLED = re.compile(r"\s*[^\w\s]?\s*([^\W\d][\w ]{0,40}?)\s*[:=]\s*(.*)", re.S)
+#: A labelled field: a label with a letter and without the marks of a sentence, a colon or equals sign, a value.
+LABELLED = re.compile(r"([^:=.,!?\n]*[^\W\d_][^:=.,!?\n]*)[:=](.*)", re.S)
 
 
 def words(text: str) -> list[str]:
@@ -44,7 +43,7 @@ def fields(text: str) -> list[tuple[str, str]] | None:
             if not part.strip():
                 continue
             if m := LABELLED.match(part):
-                out.append([m[1], m[2]])
+                out.append([m[1].strip(), m[2].lstrip()])
             elif sep == "\n" and out:
                 out[-1][1] += " " + part
             else:
@@ -56,13 +55,8 @@ def fields(text: str) -> list[tuple[str, str]] | None:
 
 
 def canonical(text: str) -> str:
-    """Equal for two texts exactly if they are copies: the word sequence, or the sorted fields' words."""
+    """Equal for copies: the word sequence, or the sorted words of the fields of a text of two and more fields."""
     found = fields(text)
-    if found is None:
-        return "\x1d" + " ".join(words(text))
+    if found is None or len(found) < 2:
+        return "\x1d" + " ".join(words(text) if found is None else [w for k, v in found for w in (*words(k), *words(v))])
     return "\x1e".join(sorted(" ".join(words(k)) + "\x1f" + " ".join(words(v)) for k, v in found))
-
-
-def copy_key(text: str) -> bytes:
-    """32 bytes of the canonical form."""
-    return hashlib.sha256(canonical(text).encode("utf-8", "surrogatepass")).digest()
