@@ -29,6 +29,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of one shard, and shards packed again by one.
 SHARD_ITEMS, FAN_IN = 20_000, 16
+#: Capacities up to this number are broadcast.
+BROADCAST_BUDGETS = 10_000
 
 _ENCODERS: dict[str, object] = {}
 
@@ -133,8 +135,9 @@ def pack(counts: DataFrame, budgets: DataFrame, scratch: Scratch, shard_items: i
     counts = scratch.cut(counts.withColumn("row", F.monotonically_increasing_id()), "counts")
     n = counts.count()
     some = budgets.select(F.col("budget_id").cast("bigint").alias("budget_id"), F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
-    # a handful of capacities against all texts: the set of capacities is stated, not derived from the texts
-    each = counts.join(F.broadcast(some.limit(1000)), how="cross").withColumn("whole", F.floor(F.col("tokens") / F.col("capacity")))
+    # a stated set of capacities against all texts: every capacity packs every text
+    some = F.broadcast(some) if some.count() <= BROADCAST_BUDGETS else some
+    each = counts.join(some, how="cross").withColumn("whole", F.floor(F.col("tokens") / F.col("capacity")))
     filled = each.where("whole > 0").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)))
     filled = filled.select("budget_id", F.concat(F.lit("d"), "row", F.lit("."), "piece").alias("container"), "id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").cast("long").alias("tokens"))
     rest = each.where("tokens = 0 or tokens % capacity > 0").withColumn("size", (F.col("tokens") % F.col("capacity")).cast("int"))

@@ -1,5 +1,6 @@
 """Training-data operators on small tables: brute force, exact round trips, and odd rows."""
 
+import hashlib
 import random
 
 import pytest
@@ -23,6 +24,9 @@ def test_fields_in_any_order_and_format():
     same = ['{"record": "k1", "owner team": "X  Y", "VENDOR": "groshe two"}', "record: K1\nvendor: groshe\n two\nowner_team: x, y", "- owner_team: x y; record: K1; vendor: Groshe two"]
     assert len({canonical(t) for t in [a, *same]}) == 1
     assert canonical("A b: c.") == canonical("a  B C") != canonical("b a c")
+    labels = ["owner-team", "E-mail", "cost/unit", "2nd owner", "a label of considerably more than forty-one characters", "size (mm)"]
+    assert canonical("\n".join(f"{x}: v {i}" for i, x in enumerate(labels))) == canonical("; ".join(f"{x.upper()} = V {i}" for i, x in reversed([*enumerate(labels)])))
+    assert canonical('{"Owner": "Bob B."}') == canonical("owner: bob b") == canonical("owner bob b")
     assert fields("When it stops, call; then wait") is None and fields('{"broken": ') is None
 
 
@@ -30,16 +34,16 @@ def test_copies_hot_group_and_small_buckets(spark):
     rng = random.Random(2)
     found = [(f"b{i:03}", " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.choice([2, 3])))) for i in range(300)] + [(f"h{i:03}", "the HOT\t text!") for i in range(200)] + [("b001", "alpha beta")]
     df = rows(spark, found)
-    groups, pairs = copies.copies(copies.record_keys(df), Scratch(spark, "t"), bucket_rows=3)
+    groups, pairs = copies.copies(copies.record_keys(df, scratch := Scratch(spark, "t")), scratch, bucket_rows=3)
     best = {}
     for i, t in [*found, ("e1", ""), ("e2", "")]:
-        best[i] = min(best.get(i, b"\xff" * 33), copies.copy_key(t))
+        best[i] = min(best.get(i, "x"), hashlib.sha256(canonical(t).encode()).hexdigest())
     by = {}
     for i, k in best.items():
         by.setdefault(k, []).append(i)
     assert {tuple(r) for r in pairs.collect()} == {(min(v), x) for v in by.values() for x in v if x != min(v)}
     assert {r.keep: r.n for r in groups.collect()} == {min(v): len(v) for v in by.values() if len(v) > 1}
-    assert copies.copies(copies.record_keys(df.limit(0)), Scratch(spark, "t"))[1].count() == 0
+    assert copies.copies(copies.record_keys(df.limit(0), scratch), scratch)[1].count() == 0
 
 
 def test_trie_counts():
@@ -47,7 +51,8 @@ def test_trie_counts():
     for k in (b"aaaa", b"aaab", b"aaaa", b"bbbb"):
         t.add(k, "z", 1)
     t.add(b"aaab", "a", 3)
-    assert {k: (s, n) for k, s, n in t.ends()} == {b"aaaa": ("z", 2), b"aaab": ("a", 4), b"bbbb": ("z", 1)}
+    t.add(b"aa", "m", 2)
+    assert {k: (s, n) for k, s, n in t.terminals()} == {b"aaaa": ("z", 2), b"aaab": ("a", 4), b"bbbb": ("z", 1), b"aa": ("m", 2)}
 
 
 @pytest.mark.parametrize("long", [16_384, 6])
@@ -69,6 +74,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
     assert near.near_duplicates(df.limit(0), Scratch(spark, "t"))[1].count() == 0
 
 
+def test_units_of_long_quotations_addresses_and_other_scripts(spark):
+    long = "He said “" + " ".join(f"This is part {i}." for i in range(400)) + "” and left. Then it ended."
+    texts = [long, "See https://a.example/x.y?z=1 or a.b@c.example.org and go. Then stop.", "یہ ایک ہے۔ یہ دو ہے۔", "See Gen. Smith and Rev. Jones now. Ok.", "（" + "これは文です。" * 9 + "）です。次です。"]
+    found = sentences.sentence_units(spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")).collect()
+    by = {i: [r.text for r in sorted(found, key=lambda r: r.start_at) if r.doc_id == i] for i in range(len(texts))}
+    assert [len(v) for v in by.values()] == [2, 2, 2, 2, 2]
+    assert all(texts[r.doc_id][r.start_at :].startswith(r.text) for r in found) and by[0][0] == long[: -len(" Then it ended.")]
+
+
+def test_every_capacity_is_packed(spark):
+    counts = spark.createDataFrame([(i, i + 1) for i in range(6)], "id int, tokens bigint")
+    budgets = spark.createDataFrame([(i, 10 + i) for i in range(1200)], "budget_id int, capacity_tokens int")
+    assert packing.pack(counts, budgets, Scratch(spark, "t")).select("budget_id").distinct().count() == 1200
+
+
 def test_formed_entities():
     t = "Mail a.b+c@x-y.example or ann (at) site [dot] org, call +44 (0)20 7946 0058, 07700 900 902 or (212) 555-0160. QQ 12 34 56 C; SSN 000 11 2222; 12 Elm Street, Bigtown. P.O. Box 12, Ayton."
     kinds = [k for _, _, k in sorted(private._formed(t))]
