@@ -1,7 +1,7 @@
 """Personal information in free text by information-theoretic sanitisation.
 
-Entities of fixed form - e-mail addresses, phone numbers, identity numbers, street and post-box addresses - are found
-by patterns. Names have no form, so the corpus tells which terms reveal one. A term is a word or the last four
+Entities of fixed form - e-mail addresses, phone numbers, identity numbers, street and post-box addresses - are found by shape,
+by the word before them and by check digits. Names have no form, so the corpus tells which terms reveal one. A term is a word or the last four
 letters of words; its disclosure is the log-ratio, in bits, of the chance that a text holding it holds it in a
 protected place (a mailbox name, after a personal title) to that chance over all terms. Terms above
 ``DISCLOSURE_BITS`` that occur in enough texts reveal: words are given names, endings are those of surnames. A second
@@ -47,31 +47,46 @@ PHONE = re.compile(
     rf"|(?<![\w)])\(\d{{3}}\){_S}?\d{{3}}{_D}\d{{4}}(?!\w)"
     r"|(?<![\w.+/#-])(?:1[-.\s‑])?\d{3}([-.‐‑])\d{3}\1\d{4}(?![\w-])(?:\s{1,3}ext\.?\s{0,3}\d{1,5})?"
     rf"|(?<![\w.+/#-])0\d{{4}}{_S}\d{{3}}{_S}\d{{3}}(?!\w)"
-    rf"|(?<![\w.+/#-])0\d(?:{_S}\d\d){{4}}(?!\w)",
+    rf"|(?<![\w.+/#-])0\d(?:{_S}\d\d){{4}}(?!\w)"
+    rf"|(?<![\w.+/#-])\(?0[1-9]\d{{1,2}}\)?{_S}\d{{3,4}}{_S}\d{{4}}(?!\w)",
     re.I,
 )
+#: A number after a word for telephones, in any grouping; dates are none.
+PHONE_CUE = re.compile(rf"\b(?:tel|phone|telephone|mobile|cell|fax|telefon|tél|teléfono){_S}?[.:]?{_S}?(?!(?:19|20)\d\d-\d\d-\d\d(?!\d))\(?\d{{1,4}}\)?(?:[\s.\-/]{{1,2}}\d{{2,5}}){{1,4}}(?![\w-])", re.I)
+PHONE_WORDS = ("tel", "phone", "mobile", "cell", "fax", "tél")
 ID_NUMBER = re.compile(
     rf"(?:\bSSN{_S})?(?<![\w.#/-])\d{{3}}-\d\d-\d{{4}}(?![\w-])|\bSSN:?{_S}\d{{3}}[\s-]\d\d[\s-]\d{{4}}(?!\w)"
     rf"|\b(?:national{_S}id:?{_S})\d{{4}}{_S}?\d{{4}}{_S}?\d{{4}}(?!\w)"
     rf"|\b(?:driver'?s?{_S}licen[cs]e:?{_S})[A-Z]\d{{3}}-\d{{4}}-\d{{4}}(?!\w)"
     rf"|\b(?:personal{_S}number:?{_S})\d{{6}}-\d{{4}}(?!\w)"
-    rf"|\b(?:passport(?:{_S}(?:no\.?|number))?:?{_S})?ZZ\d{{7}}(?!\w)"
     rf"|\b(?:tax{_S}id:?{_S})\d\d-\d{{7}}(?!\w)"
-    rf"|\bQQ(?:{_S}?\d\d){{3}}{_S}?[A-D]\b",
+    rf"|(?<![\w.#/-])ZZ\d{{7}}(?!\w)|\bQQ(?:{_S}?\d\d){{3}}{_S}?[A-D]\b"
+    rf"|\b[A-CEGHJ-PR-TW-Z][A-CEGHJ-NPR-TW-Z](?:{_S}\d\d){{3}}{_S}[A-D]\b",
     re.I,
 )
+#: A number after a word for documents and registers: groups of letters and digits that each hold a digit.
+ID_CUE = re.compile(
+    rf"\bpassport(?:{_S}(?:no\.?|number|nr\.?))?:?{_S}(?=(?:[A-Z]{{0,2}}\d+[A-Z]{{0,2}})+(?!\w))(?=\w*\d\w*\d\w*\d\w*\d)[A-Z0-9]{{6,9}}(?!\w)"
+    rf"|\b(?:aadhaar|personnummer|cpf|dni|nif|codice{_S}fiscale|steuer-?id|social{_S}insurance|nino|national{_S}insurance)(?:{_S}(?:no\.?|number))?:?{_S}(?=[A-Z0-9.\s-]{{7}})[A-Z]{{0,6}}\d[A-Z0-9]*(?:[\s.\-](?=[A-Z]{{0,2}}\d)[A-Z0-9]+){{0,4}}(?!\w)",
+    re.I,
+)
+ID_WORDS = ("passport", "aadhaar", "personnummer", "cpf", "dni", "nif", "fiscale", "steuer", "insurance", "nino")
+#: An account number: two letters, two check digits and groups; the check digits must hold.
+IBAN = re.compile(rf"(?<![\w.#/-])[A-Z]{{2}}\d\d(?:{_S}?[A-Z0-9]{{4}}){{2,7}}(?:{_S}?[A-Z0-9]{{1,3}})?(?!\w)")
 _TOWN = rf",{_S}(?:\d{{4,6}}{_S})?[^\W\d_]+(?:{_S}(?:[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}|\d{{5}})\b)?"
 #: Each form of an address, and what a text that holds one must contain.
 ADDRESS = [
-    (("street", "lane", "road", "rd", "ave", "court", "drive", "boulevard", "blvd", "way", "square", "place"), re.compile(
-        rf"(?:\b(?:unit|flat|apt\.?|suite){_S}\w{{1,4}},{_S})?(?<![\w.-])\d{{1,5}}[A-Z]?(?:-\d{{1,4}})?{_S}[^\W\d_]+{_S}(?:street|lane|road|rd|ave|avenue|court|drive|boulevard|blvd|way|square|place)\b\.?"
+    (("street", "lane", "road", "rd", "ave", "court", "drive", "boulevard", "blvd", "way", "square", "place", "crescent", "close", "terrace", "gardens", "grove", "mews", "parade"), re.compile(
+        rf"(?:\b(?:unit|flat|apt\.?|suite){_S}\w{{1,4}},{_S})?(?<![\w.-])\d{{1,5}}[A-Z]?(?:-\d{{1,4}})?{_S}[^\W\d_]+{_S}(?:street|lane|road|rd|ave|avenue|court|drive|boulevard|blvd|way|square|place|crescent|close(?=,)|terrace|gardens|grove|mews|parade)\b\.?"
         rf"(?:,{_S}(?:apt|unit|suite|flat)\.?{_S}\w{{1,4}})?(?:{_TOWN}|\s{{1,3}}[^\W\d_]+{_S}[A-Z]{{1,2}}\d{{1,2}}{_S}\d[A-Z]{{2}}\b)?", re.I)),
     (("rue", "avenue", "boulevard", "place"), re.compile(rf"(?<![\w.-])\d{{1,5}}{_S}(?:rue|avenue|boulevard|place){_S}(?:de{_S}|du{_S}|des{_S})?[^\W\d_]+(?:{_TOWN})?", re.I)),
     (("strasse", "straße"), re.compile(rf"\b[^\W\d_]+(?:strasse|straße){_S}\d{{1,5}}(?!\w)(?:{_TOWN})?", re.I)),
+    (("via", "viale", "piazza", "corso", "rua", "ulica", "ul."), re.compile(rf"\b(?:via|viale|piazza|corso|rua|ulica|ul\.){_S}(?-i:[A-Z\u00c0-\u00de])[^\W\d_]*(?:{_S}[^\W\d_]+){{0,2}},?{_S}\d{{1,5}}[a-z]?(?!\w),{_S}(?:\d{{4,6}}{_S})?(?-i:[A-Z\u00c0-\u00de])[^\W\d_]+", re.I)),
     (("calle",), re.compile(rf"\bcalle{_S}[^\W\d_]+{_S}\d{{1,5}}(?!\w)(?:,{_S}\d{{1,2}}[º°ª]?{_S}[A-Z]\b)?(?:{_TOWN})?", re.I)),
     (("box",), re.compile(rf"\bP\.?\s?O\.?{_S}?Box{_S}\d{{1,6}}(?!\w)(?:{_TOWN})?", re.I)),
 ]
-_PHONE_HINT, _ID_HINT = re.compile(r"\+\d|\b0\d|\d{3}[-.‐‑–)]"), re.compile(r"\d\d-\d|ssn|national|licen|personal|passport|zz\d|tax|qq")
+_PHONE_HINT, _ID_HINT = re.compile(r"\+\d|\b0\d|\d{3}[-.‐‑–)]"), re.compile(r"\d\d-\d|\d\d [a-d]\b|ssn|national|licen|personal|passport|zz\d|tax|qq")
+_IBAN_HINT = re.compile(r"[A-Z]{2}\d\d[ A-Z\d]")
 _MAILBOX = re.compile(r"([\w.+\-]*\w)\s?(?:@|[(\[]at[)\]])", re.I)
 _TITLE = re.compile(r"\b(?:mrs|mr|ms|miss|prof\.?|dr\.)\.?\s{1,3}([^\W\d_]+)", re.I)
 _BEFORE = re.compile(r"\b(?:(?:mrs|mr|ms|miss|prof)\.?|dr\.|[^\W\d_]\.)\s{1,3}([^\W\d_]+)")
@@ -99,6 +114,12 @@ def _decoded(text: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
+def _checks(account: str) -> bool:
+    """Whether the check digits of an account number hold: the remainder by 97 of its letters and digits is 1."""
+    plain = "".join(account.split()).upper()
+    return len(plain) >= 15 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
 def _formed(text: str) -> list[tuple[int, int, str]]:
     """Entities of fixed form; what is found is blanked before the next kind is looked for."""
     found: list[tuple[int, int, str]] = []
@@ -115,10 +136,19 @@ def _formed(text: str) -> list[tuple[int, int, str]]:
     for hints, pattern in ADDRESS:
         if any(h in low for h in hints):
             take("address", pattern)
-    if _PHONE_HINT.search(text):
+    if _IBAN_HINT.search(text):
+        for m in list(IBAN.finditer(text)):
+            if _checks(m[0]):
+                found.append((m.start(), m.end(), "id_number"))
+                text = text[: m.start()] + "\x00" * (m.end() - m.start()) + text[m.end() :]
+    if any(w in low for w in ID_WORDS):
+        take("id_number", ID_CUE)
+    if _PHONE_HINT.search(low):
         take("phone", PHONE)
     if _ID_HINT.search(low):
         take("id_number", ID_NUMBER)
+    if any(w in low for w in PHONE_WORDS):
+        take("phone", PHONE_CUE)
     return found
 
 

@@ -97,6 +97,13 @@ def test_formed_entities():
         assert private._formed(plainly) == []
 
 
+def test_formed_entities_of_other_countries():
+    kinds = {"Passport AB1234567": "id_number", "passport no. C01X00T47": "id_number", "AB 12 34 56 C": "id_number", "Aadhaar 2345 6789 0123": "id_number", "GB82 WEST 1234 5698 7654 32": "id_number", "12 Elm Crescent, Bath": "address", "Via Roma 12, Milano": "address", "020 7946 0958": "phone", "tel 03-1234-5678": "phone"}
+    assert {t: private._formed(f"See {t} there.")[0][2] for t in kinds} == kinds
+    for plainly in ("GB83 WEST 1234 5698 7654 32", "via port 8080, then", "tel 2024-01-02", "phone 4 times", "passport renewal", "close 12 tickets"):
+        assert private._formed(plainly) == []
+
+
 def test_names_and_redaction():
     names = private.Names({"greta", "олена"}, {"quist", "stad"} | {"uist"})
     found = lambda t: [t[a:z] for a, z, k in private.find(t, names) if k == "name"]
