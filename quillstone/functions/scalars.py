@@ -9,12 +9,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.functions.wordlists import NOISE, entries
+
 # Decay per hour by record type; anything else decays like a fact.
 DECAY_RATES = {"entity": 0.001, "fact": 0.005, "relation": 0.005, "preference": 0.02, "event": 0.04, "experience": 0.002, "episode": 0.0}
 #: Letters, digits and underscores in any script.
 TOKEN = r"[\p{L}\p{N}_]+"
-# Questions that carry no question.
-NOISE = ["hi", "hello", "hey", "thanks", "thank you", "ok", "okay", "yes", "no", "bye", "goodbye", "test", "help"]
 
 
 @F.pandas_udf(T.StringType())
@@ -73,20 +73,17 @@ def recency(created_at: Column, as_of: Column) -> Column:
 
 
 def question_text(text: Column) -> Column:
-    """A question's key: trimmed, lower case, one space between words, no closing punctuation."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), r"[?!.,;:]+$", "")
+    """A question's key: composed, trimmed, lower case, one space between words, no closing punctuation."""
+    return F.regexp_replace(normalised(text), r"[?!.,;:]+$", "")
 
 
-def is_noise(text: Column) -> Column:
-    """Greetings and texts of under 3 characters."""
-    key = question_text(text)
-    return (F.length(key) < 3) | key.isin(NOISE)
+def is_noise(text: Column, more: list[str] | None = None, fewer: list[str] | None = None) -> Column:
+    """Texts of under 3 characters, greetings and fillers; ``more`` adds words of the caller's, ``fewer`` takes some away."""
+    key = F.regexp_replace(F.trim(F.lower(text)), r"[?!.,;:]+$", "")
+    words = {*entries(NOISE), *(w.lower() for w in more or [])} - {w.lower() for w in fewer or []}
+    return (F.length(key) < 3) | key.isin(sorted(words))
 
 
 def band(confidence: Column) -> Column:
     """Label of a strength."""
     return F.when(confidence >= 0.9, "HIGH").when(confidence >= 0.7, "MED").when(confidence >= 0.4, "LOW").otherwise("WEAK")
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

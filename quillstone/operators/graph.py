@@ -48,7 +48,7 @@ def traverse(starts: DataFrame, live: DataFrame, scratch: Scratch, depth: int =
     return seen.where("depth > 0")
 
 
-def shortest_path(start: str, end: str, edges: DataFrame, scratch: Scratch, most: int = 32) -> list[str]:
+def shortest_path(start: str, end: str, edges: DataFrame, scratch: Scratch) -> list[str]:
     """Ids on a shortest undirected path, deleted records included; empty without one."""
     if start == end:
         return [start]
@@ -56,14 +56,13 @@ def shortest_path(start: str, end: str, edges: DataFrame, scratch: Scratch, most
     steps = scratch.cut(undirected(edges).select("a", "b").distinct(), "steps")
     seen = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     front = seen
-    for _ in range(most):
+    while True:
         step = front.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
         front = scratch.cut(step.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti").select("id", "path"), "front")
         hit = front.where(F.col("id") == end).head()
         if hit or front.isEmpty():
             return hit["path"] if hit else []
         seen = seen.unionByName(front)
-    return []
 
 
 def tag_links(blocks: DataFrame, recent: int = 50, most: int = 5) -> DataFrame:

@@ -68,14 +68,6 @@ def upsert(blocks: DataFrame, changes: DataFrame) -> DataFrame:
     return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
-def soft_delete(blocks: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Flags records as deleted and drops their edges."""
-    gone = ids.select("id").distinct().withColumn("_gone", F.lit(True))
-    flagged = blocks.join(gone, "id", "left").withColumn("deleted", F.col("deleted") | F.coalesce("_gone", F.lit(False))).drop("_gone")
-    left = edges.join(gone.select(F.col("id").alias("source_id")), "source_id", "left_anti").join(gone.select(F.col("id").alias("target_id")), "target_id", "left_anti")
-    return flagged, left.select(edges.columns)
-
-
 def violations(blocks: DataFrame) -> DataFrame:
     """``id, rule`` of every broken rule."""
     rules = {

@@ -15,36 +15,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillstone.functions import scalars
+from quillstone.functions.stem import stems
+from quillstone.plans.scratch import Scratch
 
 K1, B = 1.2, 0.75
+#: Query terms up to this number are broadcast; more are joined by a shuffle.
+BROADCAST_TERMS = 100_000
+#: Stands in for a term in the rows that count records by length.
+_LENGTHS = "\x00"
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """``term, id, tf, length`` of every token of ``id, text``."""
-    words = records.select("id", scalars.tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return words.groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+def analysed(text: Column, stemmed: bool) -> Column:
+    """Lower-case tokens, or their stems."""
+    return stems(scalars.tokens(text)) if stemmed else scalars.tokens(text)
 
 
-def query_terms(queries: DataFrame, repeat: bool = False) -> DataFrame:
-    terms = scalars.tokens(F.col("text"))
+def query_terms(queries: DataFrame, repeat: bool = False, stemmed: bool = False) -> DataFrame:
+    terms = analysed(F.col("text"), stemmed)
     return queries.select("query_id", F.explode(terms if repeat else F.array_distinct(terms)).alias("term"))
 
 
-def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50) -> DataFrame:
-    """``query_id, id, score, rank``: any term matches; BM25; the best ``pool``.
+def keyword_scores(queries: DataFrame, records: DataFrame, stemmed: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``query_id, id, score``: any term matches; BM25 over all records.
 
-    Only postings of query terms are kept before anything is shuffled; corpus statistics cover all records.
+    One pass over the records tokenises each once. Only tokens of queries are kept before anything is shuffled; rows without
+    a term, combined before the shuffle, count the records by length. The hits are written, so every later step reads them only.
     """
-    length = F.size(scalars.tokens(F.col("text")))
-    corpus = records.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
-    terms = query_terms(queries)
-    words = records.select("id", scalars.tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    hits = words.join(F.broadcast(terms.select("term").distinct().limit(100_000)), "term", "left_semi").groupBy("term", "id", "length").agg(F.count("*").alias("tf"))
+    scratch = scratch or Scratch(records.sparkSession, "keywords")
+    terms = scratch.cut(query_terms(queries, stemmed=stemmed), "terms")
+    wanted = scratch.cut(terms.select("term").distinct().unionByName(records.sparkSession.createDataFrame([(_LENGTHS,)], "term string")), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
+    words = records.select("id", analysed(F.col("text"), stemmed).alias("words")).where("words is not null")
+    each = words.select("id", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(_LENGTHS)), "words")).alias("term")).join(wanted, "term", "left_semi")
+    each = each.withColumn("id", F.when(F.col("term") != _LENGTHS, F.col("id")))
+    hits = scratch.cut(each.groupBy("term", "id", "length").agg(F.count("*").alias("tf")), "hits")
+    corpus = hits.where(F.col("term") == _LENGTHS).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
+    n, mean = corpus.first()
+    hits = hits.where(F.col("term") != _LENGTHS)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(df, "term").join(terms, "term").join(F.broadcast(corpus), how="cross").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    return ranked(scored, pool)
+    idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    return hits.join(df, "term").join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+
+
+def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50, stemmed: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``query_id, id, score, rank``: the best ``pool`` by keywords; of equal scores the newest where records have ``created_at``, then by id."""
+    scored = keyword_scores(queries, records, stemmed, scratch)
+    if "created_at" not in records.columns:
+        return ranked(scored, pool)
+    scored = scored.join(records.select("id", "created_at"), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("created_at"), "id")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("query_id", "id", "score", "rank")
 
 
 def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
@@ -104,8 +125,58 @@ def vector_search(queries: DataFrame, records: DataFrame, most: int = 10, block:
     return ranked(out, most)
 
 
+def vector_ranks(queries: DataFrame, records: DataFrame, pairs: DataFrame, block: int = 2000) -> DataFrame:
+    """``query_id, id, score, rank`` of given pairs ``query_id, id`` among all records, by cosine.
+
+    Every batch of records counts, for each query, its rows above the given scores; the counts are added up. Pairs without a vector drop out.
+    """
+    spark, kinds = records.sparkSession, dict(records.dtypes)
+    a, b = F.transform("qv", lambda x: x.cast("double")), F.transform("vector", lambda x: x.cast("double"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, u: t + u)
+    size = lambda x: F.when(dot(x, x) > 0, F.sqrt(dot(x, x))).otherwise(F.lit(1.0))
+    joined = pairs.select("query_id", "id").distinct().join(records, "id").join(queries.select("query_id", F.col("vector").alias("qv")), "query_id")
+    scored = joined.select("query_id", "id", F.round(dot(a, b) / size(a) / size(b), 6).alias("score"))
+    asked = queries.select("query_id", "vector").join(scored.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("score"), F.col("id")))).alias("given")), "query_id")
+    n, out = max(1, -(-asked.count() // block)), None
+    for at in range(n):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == at).collect()  # one block of queries with their candidates
+        if not rows:
+            continue
+        q = np.array([r["vector"] for r in rows], np.float64)
+        norm = np.linalg.norm(q, axis=1, keepdims=True)
+        given = [(np.array([g["score"] for g in r["given"]]), [g["id"] for g in r["given"]]) for r in rows]
+        shared = spark.sparkContext.broadcast(([r["query_id"] for r in rows], q / np.where(norm > 0, norm, 1), given))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            names, q, given = shared.value
+            above = [np.zeros(len(s), np.int64) for s, _ in given]
+            for b in batches:
+                if not len(b):
+                    continue
+                x = np.stack([np.asarray(v, np.float64) for v in b["vector"]])
+                norm = np.linalg.norm(x, axis=1, keepdims=True)
+                t = np.round(q @ (x / np.where(norm > 0, norm, 1)).T, 6)
+                ids = b["id"].to_numpy()
+                for i, (scores, held) in enumerate(given):
+                    order = np.sort(t[i])
+                    more = np.searchsorted(order, scores, "right")
+                    above[i] += len(order) - more
+                    for j in np.flatnonzero(more > np.searchsorted(order, scores, "left")):
+                        above[i][j] += int((ids[t[i] == scores[j]] < held[j]).sum())
+            yield pd.DataFrame([(name, g, s, a) for name, (ss, gs), aa in zip(names, given, above, strict=True) for g, s, a in zip(gs, ss, aa, strict=True)], columns=["query_id", "id", "score", "above"])
+
+        part = records.select("id", "vector").mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, id {kinds['id']}, score double, above bigint")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, id {kinds['id']}, score double, rank int")
+    return out.groupBy("query_id", "id", "score").agg((F.sum("above") + 1).cast("int").alias("rank"))
+
+
 def rrf(keyword: DataFrame, vector: DataFrame, k: int = 60, keyword_weight: float = 1.0, vector_weight: float = 1.0, bonus: float = 0.0) -> DataFrame:
-    """Reciprocal ranks of two top lists added up; ``bonus`` adds a share of the best sum times the cosine."""
+    """Reciprocal ranks of two top lists added up; ``bonus`` adds a share of the best sum times the cosine.
+
+    ``vector`` holds every vector that may end near the top: the best by cosine, and the keyword results with their ranks (``vector_ranks``).
+    """
     a = keyword.select("query_id", "id", F.col("rank").alias("r1"))
     b = vector.select("query_id", "id", F.col("rank").alias("r2"), F.col("score").alias("cosine"))
     term = lambda r, w: F.coalesce(F.lit(w) / (k + F.col(r)), F.lit(0.0))
@@ -147,12 +218,3 @@ def evaluate(ranking: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
     joined = wanted.join(found, "query_id", "left")
     return joined.select("query_id", F.round(F.coalesce("hits", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce("dcg", F.lit(0.0)) / ideal, 6).alias("ndcg"))
-
-
-def entities(text: Column) -> Column:
-    """Capitalised phrases, quoted strings, possessives; lower case, distinct, in order."""
-    phrase = F.regexp_extract_all(text, F.lit(r"\b([A-Z][\w]+(?:\s+[A-Z][\w]+)+)"), 1)
-    quoted = F.regexp_extract_all(text, F.lit(r'["“]([^"”]{2,40})["”]'), 1)
-    owner = F.regexp_extract_all(text, F.lit(r"\b([A-Z]\w+)['’]s\b"), 1)
-    single = F.regexp_extract_all(text, F.lit(r"(?<=[a-z,;:] )([A-Z]\w{2,})\b"), 1)
-    return F.array_distinct(F.transform(F.concat(phrase, quoted, owner, single), F.lower))

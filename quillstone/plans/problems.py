@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,22 +33,56 @@ def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("v").alias("block_id"), F.col("descendant").alias("descendant_id"))
 
 
-def _orphans(spark: SparkSession, folder: str) -> orphans.OrphanState:
-    blocks = table(spark, folder, "blocks").select("id", "created_at", "deleted")
-    refs = orphans.references(table(spark, folder, "edges"), "edges", "id", ["source_id", "target_id"], "created_at")
-    refs = refs.unionByName(orphans.references(table(spark, folder, "operations"), "operations", "id", ["block_id"], "timestamp"))
-    refs = refs.unionByName(orphans.references(table(spark, folder, "block_embeddings"), "block_embeddings", "block_id", ["block_id"], None))
-    state = orphans.OrphanState.empty(spark, Scratch(spark, "p4")).apply(refs=refs, parents=blocks)
-    return state.apply(deletions=blocks.where("deleted"), may_dangle=["operations"])
+#: Periods of equal length, from the first to the last created block, in which the rows of problem 4 arrive.
+PERIODS = 4
+
+
+def _arrivals(spark: SparkSession, folder: str) -> Iterator[orphans.OrphanState]:
+    """The state after each period. What has no time comes in the first one, deletions, which have none, come in the last."""
+    blocks = table(spark, folder, "blocks").select("id", F.col("created_at").cast("timestamp").alias("created_at"), "deleted")
+    first, last = blocks.agg(F.unix_micros(F.min("created_at")), F.unix_micros(F.max("created_at"))).first()
+    first, last = first or 0, last or 0
+    edge = [first + -(-(last - first + 1) * i // PERIODS) for i in range(1, PERIODS)]
+    sources = [("edges", "id", ["source_id", "target_id"], "created_at"), ("operations", "id", ["block_id"], "timestamp"), ("block_embeddings", "block_id", ["block_id"], None)]
+
+    def within(df: DataFrame, at: str | None, i: int) -> DataFrame:
+        if at is None:
+            return df if i == 0 else df.limit(0)
+        c, moment = F.col(at).cast("timestamp"), lambda us: F.timestamp_micros(F.lit(us))
+        low = c >= moment(edge[i - 1]) if i else F.lit(True)
+        high = c < moment(edge[i]) if i < PERIODS - 1 else F.lit(True)
+        return df.where(low & high if i else c.isNull() | high)
+
+    state = orphans.OrphanState.empty(spark, Scratch(spark, "p4"))
+    for i in range(PERIODS):
+        refs = None
+        for name, row_id, fields, at in sources:
+            if at is not None or i == 0:
+                new = orphans.references(within(table(spark, folder, name), at, i), name, row_id, fields, at)
+                refs = new if refs is None else refs.unionByName(new)
+        gone = blocks.where("deleted") if i == PERIODS - 1 else None
+        state = state.apply(refs=refs, parents=within(blocks, "created_at", i), deletions=gone, may_dangle=["operations"])
+        yield state
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).cases()
+    *_, state = _arrivals(spark, folder)
+    return state.cases()
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
     """Pending references by table, field, month and reason."""
-    return _orphans(spark, folder).report()
+    *_, state = _arrivals(spark, folder)
+    return state.report()
+
+
+def p4_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """Snapshots: the references pending at the end of each period, by table, field and reason."""
+    out = None
+    for i, state in enumerate(_arrivals(spark, folder)):
+        new = state.report().groupBy("ref_table", "ref_field", "reason").agg(F.sum("n_orphans").alias("n_orphans")).withColumn("period", F.lit(i))
+        out = new if out is None else out.unionByName(new)
+    return out
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,7 +127,7 @@ valid AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY clock, tim
   WHERE action = 'delete' OR action IN ('create', 'update') AND json_valid(data) AND json_type(CASE WHEN json_valid(data) THEN data END) = 'OBJECT'),
 reset AS (SELECT block_id, max(n) AS n, max_by(action, n) AS action FROM valid WHERE action <> 'update' GROUP BY block_id)"""
 
-QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p4_found": p4_found, "p4_report": p4_report, "p7_found": p7_found, "p7_state": p7_state}
+QUERIES = {"p1_found": p1_found, "p1_hierarchy": p1_hierarchy, "p1_descendants": p1_descendants, "p4_found": p4_found, "p4_report": p4_report, "p4_periods": p4_periods, "p7_found": p7_found, "p7_state": p7_state}
 
 ORACLES = {
     "p1_found": _TREES + """
@@ -108,6 +144,19 @@ UNION ALL SELECT spot, id FROM reach WHERE spot <> id""",
 SELECT ref_table, ref_field, month, reason, count(*) AS n_orphans
 FROM (SELECT DISTINCT ref_table, row_id, ref_field, key, ref_time, strftime(ref_time, '%Y-%m') AS month, reason FROM cases WHERE reason IS NOT NULL)
 GROUP BY ALL""",
+    "p4_periods": f"""
+WITH span AS (SELECT epoch_us(min(created_at)) AS lo, epoch_us(max(created_at)) - epoch_us(min(created_at)) + 1 AS wide FROM blocks),
+refs AS (
+  SELECT 'edges' AS ref_table, id AS row_id, 'source_id' AS ref_field, source_id AS key, created_at AS ref_time FROM edges
+  UNION ALL SELECT 'edges', id, 'target_id', target_id, created_at FROM edges
+  UNION ALL SELECT 'operations', id, 'block_id', block_id, timestamp FROM operations
+  UNION ALL SELECT 'block_embeddings', block_id, 'block_id', block_id, NULL FROM block_embeddings),
+came AS (SELECT DISTINCT refs.*, CASE WHEN ref_time IS NULL THEN 0 ELSE greatest(0, least({PERIODS - 1}, (epoch_us(ref_time) - lo) * {PERIODS} // wide)) END AS arrived FROM refs, span WHERE key <> ''),
+one AS (SELECT id, min(created_at) AS created_at, bool_or(deleted) AS deleted, coalesce(min((epoch_us(created_at) - lo) * {PERIODS} // wide), 0) AS arrived FROM blocks, span WHERE id IS NOT NULL GROUP BY id),
+cases AS (SELECT p.period, r.*, CASE WHEN b.id IS NULL THEN 'absent' WHEN b.created_at > r.ref_time THEN 'early'
+    WHEN b.deleted AND p.period = {PERIODS - 1} AND r.ref_table <> 'operations' THEN 'deleted' END AS reason
+  FROM (SELECT CAST(unnest(range({PERIODS})) AS INT) AS period) p JOIN came r ON r.arrived <= p.period LEFT JOIN one b ON r.key = b.id AND b.arrived <= p.period)
+SELECT period, ref_table, ref_field, reason, count(*) AS n_orphans FROM cases WHERE reason IS NOT NULL GROUP BY ALL""",
     "p7_found": _FEED + """
 SELECT v.block_id, max_by(v.clock, v.n) AS clock FROM valid v JOIN reset r ON v.block_id = r.block_id
 WHERE r.action = 'create' AND v.n >= r.n GROUP BY v.block_id""",

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NAMES = ("blocks", "edges", "embeddings", "operations")
+#: The columns of an empty store.
+SCHEMAS = {
+    "blocks": "id string, user_id string, type string, content string, tags array<string>, parent_id string, children_ids array<string>, version int, op_hash string, content_hash string, deleted boolean, encryption_level string, encrypted boolean, confidence double, source string, created_at timestamp, created_by string, access_count int, last_accessed timestamp, decay_rate double, ttl int, session_id string, org_id string, project_id string, agent_id string, custom_metadata string, happened_at timestamp, happened_at_end timestamp, temporal_precision string",
+    "edges": "id string, source_id string, target_id string, relation string, weight double, created_at timestamp",
+    "operations": "id string, block_id string, author string, clock bigint, action string, data string, hash string, prev_hash string, timestamp timestamp",
+    "embeddings": "block_id string, embedding array<float>",
+}
 
 
 def checksum(df: DataFrame) -> tuple[int, int, int]:
@@ -41,21 +50,44 @@ def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return out
 
 
-def merge(current: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Adds a snapshot's blocks that are new, their edges to known blocks, and what belongs to them."""
+def restore(current: dict[str, DataFrame], snapshot: dict[str, DataFrame], mode: str = "merge", embeddings: str = "strict", models: tuple[str | None, str | None] = (None, None), reembed: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Adds a snapshot's blocks whose ids are new, their edges to known blocks, and what belongs to them.
+
+    ``mode`` ``empty`` demands a store without blocks. ``models`` names the embedding models of store and snapshot: if both are known and differ,
+    ``embeddings`` decides: ``strict`` refuses, ``drop`` leaves the vectors out, ``reembed`` makes ``block_id, embedding`` anew from ``id, content``.
+    """
+    if mode not in ("empty", "merge") or embeddings not in ("strict", "drop", "reembed"):
+        raise ValueError("mode is empty or merge; embeddings is strict, drop or reembed")
+    if mode == "empty" and not current["blocks"].isEmpty():
+        raise ValueError("the store is not empty")
+    differ = None not in models and models[0] != models[1]
+    if differ and embeddings == "strict":
+        raise ValueError(f"vectors of {models[1]} do not fit a store of {models[0]}")
     new = snapshot["blocks"].join(current["blocks"].select("id"), "id", "left_anti").select(current["blocks"].columns)
     blocks = current["blocks"].unionByName(new)
-    added, known = new.select(F.col("id").alias("block_id")), blocks.select(F.col("id").alias("target_id")).distinct()
-    edges = snapshot["edges"].join(added.select(F.col("block_id").alias("source_id")), "source_id", "left_semi").join(known, "target_id", "left_semi").select(current["edges"].columns)
+    added, known = new.select(F.col("id").alias("block_id")).distinct(), blocks.select(F.col("id").alias("target_id")).distinct()
+    edges = snapshot["edges"].join(added.select(F.col("block_id").alias("source_id")), "source_id", "left_semi").join(known, "target_id", "left_semi")
+    edges = edges.join(current["edges"].select("id"), "id", "left_anti").select(current["edges"].columns)
     out = {"blocks": blocks, "edges": current["edges"].unionByName(edges)}
     for name in ("embeddings", "operations"):
-        out[name] = current[name].unionByName(snapshot[name].join(added, "block_id", "left_semi").select(current[name].columns))
+        rows = snapshot[name].join(added, "block_id", "left_semi").select(current[name].columns)
+        if name == "embeddings" and differ:
+            rows = reembed(new.select("id", "content")).select(current[name].columns) if embeddings == "reembed" and reembed else rows.limit(0)
+        out[name] = current[name].unionByName(rows)
     return out
 
 
+def merge(current: dict[str, DataFrame], snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """``restore`` into whatever is there."""
+    return restore(current, snapshot)
+
+
 def markdown(blocks: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, text``: a header, the fields and the outgoing edges of every record."""
-    arrow = F.concat(F.lit("- "), "relation", F.lit(" -> "), "target_id")
-    out = edges.where("source_id is not null").groupBy(F.col("source_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_set(arrow)), "\n").alias("links"))
-    head = F.format_string("## %s (%s)\n\n%s\n\nconfidence: %.2f, tags: %s\n", F.col("id"), F.col("type"), F.col("content"), F.col("confidence"), F.concat_ws(", ", "tags"))
-    return blocks.join(out, "id", "left").select("id", F.concat(head, F.coalesce("links", F.lit(""))).alias("text"))
+    """``id, text``: a header, the fields and the edges of every record, outgoing and incoming, each edge once."""
+    good = edges.where("source_id <> '' and target_id <> ''").select("source_id", "target_id", "relation").distinct()
+    out = good.select(F.col("source_id").alias("id"), F.concat(F.lit("- "), "relation", F.lit(" -> "), "target_id").alias("arrow"))
+    into = good.select(F.col("target_id").alias("id"), F.concat(F.lit("- "), "relation", F.lit(" <- "), "source_id").alias("arrow"))
+    # a record's text lists all its edges by definition: only ids of blocks that are exported are gathered
+    lists = out.unionByName(into).join(blocks.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("arrow")), "\n").alias("links"))
+    head = F.format_string("## %s (%s)\n\n%s\n\nconfidence: %.2f, tags: %s\n", F.col("id"), F.col("type"), F.coalesce("content", F.lit("")), F.coalesce("confidence", F.lit(1.0)), F.concat_ws(", ", "tags"))
+    return blocks.join(lists, "id", "left").select("id", F.concat(head, F.coalesce("links", F.lit(""))).alias("text"))

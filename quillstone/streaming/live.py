@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions import scalars
+from quillstone.operators import questions
 
 
 def running_counters(asked: DataFrame) -> DataFrame:
-    """Times asked per organisation and question so far; for update or complete mode."""
-    return asked.groupBy("org_id", scalars.question_text(F.col("question")).alias("question")).agg(F.count("*").alias("frequency"), F.approx_count_distinct("user_id").alias("n_users"), F.max("asked_at").alias("last_asked"))
+    """Times asked per organisation and question so far, and the latest time; for update or complete mode.
+
+    The state is one row per question asked. Exact users per question are those of ``first_asks``, counted by its reader.
+    """
+    kept = questions.cleaned(asked)
+    return kept.groupBy("org_id", "question").agg(F.count("*").alias("frequency"), F.max("asked_at").alias("last_asked"))
+
+
+def first_asks(asked: DataFrame, late: str = "1 day") -> DataFrame:
+    """The first time that each user asked each question, for append mode; what a user asked is forgotten ``late`` after the watermark."""
+    kept = questions.cleaned(asked).withWatermark("asked_at", late)
+    return kept.dropDuplicatesWithinWatermark(["org_id", "question", "user_id"]).select("org_id", "question", "user_id", "asked_at")
 
 
 def per_day(asked: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -58,21 +69,41 @@ def trouble(calls: DataFrame, threshold: int = 3) -> DataFrame:
 
 
 def orphans(events: DataFrame) -> DataFrame:
-    """Changes of the number of waiting references per key: ``key, waiting``, in update mode.
+    """Changes of the number of waiting references: ``key, ref_table, ref_field, month, reason, waiting``, in update mode.
 
-    ``events`` has ``key, kind, n``: a reference (``ref``), an arriving parent (``parent``), a deletion (``delete``); ``n``
-    orders the events of a key within a batch. References wait while there is no parent; a parent resolves them; a deletion reopens all.
+    ``events`` has ``key, kind, ref_table, ref_field, at, n``: a reference (``ref``), an arriving parent (``parent``) or a deletion
+    (``delete``); ``n`` orders the events of a key within a batch. A reference waits while its parent is absent, was created after ``at``
+    (early), or is deleted; an arriving parent resolves, a deletion reopens and holds, also for later references and parents. The state of a
+    key counts its references by table, field and time, so copies cost nothing.
     """
 
+    def waiting(refs: dict[str, int], born: float | None, seen: bool, gone: bool) -> dict[tuple, int]:
+        out: dict[tuple, int] = {}
+        for name, n in refs.items():
+            ref_table, field, at = json.loads(name)
+            reason = "absent" if not seen else "early" if born is not None and at is not None and born > at else "deleted" if gone else None
+            if reason:
+                month = None if at is None else pd.Timestamp(at, unit="s").strftime("%Y-%m")
+                out[ref_table, field, month, reason] = out.get((ref_table, field, month, reason), 0) + n
+        return out
+
     def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-        refs, there = state.get if state.exists else (0, False)
-        before = 0 if there else refs
-        for kind in pd.concat(list(batches)).sort_values("n")["kind"]:
-            refs += kind == "ref"
-            there = {"parent": True, "delete": False}.get(kind, there)
-        state.update((int(refs), bool(there)))
-        now = 0 if there else int(refs)
-        if now != before:
-            yield pd.DataFrame({"key": [key[0]], "waiting": [now]})
-
-    return events.groupBy("key").applyInPandasWithState(step, "key string, waiting bigint", "refs bigint, there boolean", "update", "NoTimeout")
+        held, born, seen, gone = state.get if state.exists else ("{}", None, False, False)
+        refs = json.loads(held)
+        before = waiting(refs, born, seen, gone)
+        for e in pd.concat(list(batches)).sort_values("n").itertuples():
+            at = None if pd.isna(e.at) else e.at.timestamp()
+            if e.kind == "ref":
+                name = json.dumps([e.ref_table, e.ref_field, at])
+                refs[name] = refs.get(name, 0) + 1
+            elif e.kind == "parent":
+                born, seen = (at if born is None or at is not None and at < born else born), True
+            elif e.kind == "delete":
+                gone = True
+        state.update((json.dumps(refs), born, seen, gone))
+        now = waiting(refs, born, seen, gone)
+        rows = [(key[0], *k, now.get(k, 0)) for k in sorted({*before, *now}, key=str) if now.get(k) != before.get(k)]
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "ref_table", "ref_field", "month", "reason", "waiting"])
+
+    return events.groupBy("key").applyInPandasWithState(step, "key string, ref_table string, ref_field string, month string, reason string, waiting bigint", "refs string, born double, seen boolean, gone boolean", "update", "NoTimeout")
