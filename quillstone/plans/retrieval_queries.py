@@ -568,6 +568,12 @@ SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rele
     "query_time_window": f"""WITH {_B}, {_DOCS}, {_HQ}, {_scores('hq', 'ks')}, m AS (SELECT ks.query_id, l.id, l.created_at, hq.windowed, {_INSIDE} AS inside FROM ks JOIN live l USING (id) JOIN hq USING (query_id)),
 k AS (SELECT *, max(inside) OVER (PARTITION BY query_id) AS one_in FROM m)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST, id) AS INT) AS rank FROM k WHERE NOT windowed OR inside OR NOT one_in QUALIFY rank <= 10""",
+    "keyword_throughput": f"""WITH {_B}, {_DOCS}, tq AS (SELECT id AS query_id, left(array_to_string(list_filter([content] || coalesce(tags, []), lambda x: x IS NOT NULL), ' '), 60) AS text FROM live), {_scores('tq', 'ks')}
+SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM ks QUALIFY rank <= 10""",
+    "context_grouped": f"""WITH {_REL}, t AS (SELECT *, list_position(['fact', 'preference', 'entity', 'event', 'relation'], type) AS o, row_number() OVER (PARTITION BY query_id, type ORDER BY strength DESC, id) AS n FROM ranked),
+l AS (SELECT query_id, type, o, n, id, floor(length('[' || type || '] (' || printf('%.2f', strength) || ' ' || CASE WHEN strength >= 0.9 THEN 'HIGH' WHEN strength >= 0.7 THEN 'MED' WHEN strength >= 0.4 THEN 'LOW' ELSE 'WEAK' END || ') ' || coalesce(content, '')) / 4) AS cost FROM t WHERE o IS NOT NULL AND n <= 20),
+h AS (SELECT DISTINCT query_id, type, o, 0 AS n, CAST(NULL AS VARCHAR) AS id, floor((3 + length(type)) / 4) AS cost FROM l)
+SELECT query_id, type, CAST(n AS INT) AS n, id, CAST(4 + sum(cost) OVER (PARTITION BY query_id ORDER BY o, n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM (SELECT * FROM l UNION ALL SELECT * FROM h) QUALIFY spent <= 2000""",
     "time_windows": f"""WITH e AS (SELECT event_id, event_type, event_id % 12 AS k, event_id % 50 AS n, TIMESTAMP '{AS_OF}' AS t FROM events),
 w AS (SELECT *, CASE k WHEN 0 THEN t - INTERVAL 1 DAY WHEN 1 THEN t WHEN 2 THEN t - INTERVAL 30 DAY WHEN 3 THEN date_trunc('day', t - to_days(CAST(7 * n + greatest(1, n) AS INT))) WHEN 4 THEN t - INTERVAL 7 DAY WHEN 5 THEN TIMESTAMP '2025-03-01' WHEN 6 THEN TIMESTAMP '2023-12-01' WHEN 7 THEN TIMESTAMP '2022-01-01' WHEN 9 THEN TIMESTAMP '2025-01-01' WHEN 10 THEN TIMESTAMP '2025-08-26' END AS a,
   CASE k WHEN 0 THEN t WHEN 1 THEN t + INTERVAL 1 DAY WHEN 2 THEN t WHEN 3 THEN t - to_days(CAST(7 * n - greatest(1, n) AS INT)) WHEN 4 THEN t WHEN 5 THEN TIMESTAMP '2025-04-01' WHEN 6 THEN TIMESTAMP '2024-01-01' WHEN 7 THEN TIMESTAMP '2023-01-01' WHEN 8 THEN TIMESTAMP '2024-06-01' WHEN 10 THEN TIMESTAMP '2025-08-27' END AS b FROM e)

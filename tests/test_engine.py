@@ -8,9 +8,11 @@ from datetime import datetime
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillstone.functions import phrases, scalars
+from quillstone.functions.stem import stem
 from quillstone.operators import context, graph, records, retrieval
 from quillstone.plans.scratch import Scratch
 from quillstone.sources import snapshot
@@ -83,15 +85,12 @@ def test_vector_ties_zero_vectors_and_empty_queries(spark):
     assert retrieval.vector_search(q.limit(0), v, 3).count() == 0
 
 
-def test_upsert_touch_and_soft_delete(spark):
+def test_upsert_and_touch(spark):
     b = spark.createDataFrame([("a", 1, False, 0, None), ("b", 2, False, 1, datetime(2024, 1, 1))], "id string, version int, deleted boolean, access_count int, last_accessed timestamp")
     new = spark.createDataFrame([("a", 1, False, 9, None), ("b", 1, True, 9, None), ("c", 1, False, 0, None)], b.schema)
     assert {(r.id, r.access_count) for r in records.upsert(b, new).collect()} == {("a", 9), ("b", 1), ("c", 0)}
     at = spark.createDataFrame([("a", datetime(2025, 1, 1)), ("a", datetime(2025, 1, 2))], "id string, at timestamp")
     assert {(r.id, r.access_count, r.last_accessed) for r in records.touch(b, at).collect()} == {("a", 2, datetime(2025, 1, 2)), ("b", 1, datetime(2024, 1, 1))}
-    edges = spark.createDataFrame([("1", "a", "b"), ("2", "b", "c")], "id string, source_id string, target_id string")
-    blocks, left = records.soft_delete(b, edges, spark.createDataFrame([("a",)], "id string"))
-    assert {(r.id, r.deleted) for r in blocks.collect()} == {("a", True), ("b", False)} and [r.id for r in left.collect()] == ["2"]
 
 
 def test_snapshot_round_trip_and_tampering(spark, small):
@@ -108,16 +107,38 @@ def test_snapshot_round_trip_and_tampering(spark, small):
     assert snapshot.markdown(t["blocks"].limit(3), t["edges"]).count() == 3
 
 
-def test_phrases():
+def test_phrases(spark):
     now = datetime(2025, 3, 12, 15, 30)
-    assert phrases.time_window("what happened yesterday?", now) == (datetime(2025, 3, 11), datetime(2025, 3, 12))
-    assert phrases.time_window("notes of 2 weeks ago", now)[1] == datetime(2025, 2, 28, 15, 30)
-    assert phrases.time_window("in December 2024", now) == (datetime(2024, 12, 1), datetime(2025, 1, 1))
-    assert phrases.time_window("before 2024", now) == (None, datetime(2024, 1, 1))
-    assert phrases.time_window("last wednesday", now)[0] == datetime(2025, 3, 5)
-    assert phrases.time_window("whatever", now) == (None, None)
-    assert phrases.whole_question("tell me more", ["I use Apache Spark", "ok"]) == "tell me more about Apache Spark"
-    assert phrases.whole_question("why does it rain?", ["Apache Spark"]) == "why does it rain?"
+    said = {
+        "what happened yesterday?": (datetime(2025, 3, 11), datetime(2025, 3, 12), "what happened ?"), "notes of 2 weeks ago": (datetime(2025, 2, 24), datetime(2025, 2, 28, 15, 30), "notes of"),
+        "in December 2024": (datetime(2024, 12, 1), datetime(2025, 1, 1), "in December 2024"), "bugs before 2024": (None, datetime(2024, 1, 1), "bugs"), "after March notes": (datetime(2025, 4, 1), None, "notes"),
+        "last wednesday": (datetime(2025, 3, 5), datetime(2025, 3, 6), "last wednesday"), "last year or last week": (datetime(2025, 3, 5), now, "or"), "in 2023 and in May": (datetime(2025, 5, 1), datetime(2025, 6, 1), "and"),
+    }
+    df = spark.createDataFrame([(t, now) for t in [*said, "whatever", None]], "t string, now timestamp").select("t", phrases.time_window(F.col("t"), F.col("now")).alias("w"))
+    assert {r.t: r.w and tuple(r.w) for r in df.collect()} == said | {"whatever": None, None: None}
+
+
+def test_follow_ups(spark):
+    cases = [
+        ("tell me more", ["I use Apache Spark", "ok"], "tell me more about Apache Spark"), ("Why is that?", ["HDFC Top and the Parag Parikh Flexi Cap", "thanks"], "why Parag Parikh Flexi Cap"), ("go on", ["we compared index funds today"], "more about compared index funds today"),
+        ("what about it?", ["Thanks"], "what about it?"), ("why does it rain?", ["Apache Spark"], "why does it rain?"), ("compare them", ["Alpha One", "b", "c", "d"], "compare them"), ("tell me more", [], "tell me more"), ("explain", None, "explain"), (None, ["X Yz"], None),
+    ]
+    df = spark.createDataFrame([(q, r) for q, r, _ in cases], "q string, r array<string>").select(phrases.whole_question(F.col("q"), F.col("r")).alias("w"))
+    assert [r.w for r in df.collect()] == [w for *_, w in cases]
+
+
+def test_noise_and_keys(spark):
+    texts = {"Hello!": True, "sure.": True, "ok": True, "test": False, "Why?": False, "a?": True, "THANK YOU": True, "what is x": False}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", scalars.is_noise(F.col("t")).alias("n"), scalars.is_noise(F.col("t"), ["test"], ["sure"]).alias("m"))
+    rows = df.collect()
+    assert {r.t: r.n for r in rows} == texts and {r.t: r.m for r in rows} == texts | {"test": True, "sure.": False}
+    keys = spark.createDataFrame([("  Cafe\u0301  IS open?! ",), ("caf\u00e9 is open",)], "t string").select(scalars.question_text(F.col("t"))).collect()
+    assert keys[0][0] == keys[1][0] == "caf\u00e9 is open"
+
+
+def test_stems():
+    words = {"running": "run", "caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "hopping": "hop", "filing": "file", "relational": "relat", "happy": "happi", "generalizations": "gener", "sky": "sky", "is": "is", "controlling": "control", "tree": "tree", "1ing": "1ing"}
+    assert {w: stem(w) for w in words} == words
 
 
 def test_streams(spark):
@@ -129,12 +150,13 @@ def test_streams(spark):
         q = live.trouble(calls).writeStream.format("memory").queryName("trouble").option("checkpointLocation", f"{d}/c1").trigger(availableNow=True).start()
         q.awaitTermination(90)
         assert [tuple(r) for r in spark.table("trouble").collect()] == [("a", 3)]
-        schema = "key string, kind string, n bigint"
-        spark.createDataFrame([("k", "ref", 1), ("k", "ref", 2), ("m", "ref", 1), ("m", "parent", 2), ("z", "parent", 1), ("z", "ref", 2), ("z", "delete", 3)], schema).coalesce(1).write.parquet(f"{d}/refs")
+        schema = "key string, kind string, ref_table string, ref_field string, at timestamp, n bigint"
+        t = datetime(2024, 5, 2)
+        spark.createDataFrame([("k", "ref", "e", "f", t, 1), ("k", "ref", "e", "f", t, 2), ("m", "ref", "e", "f", t, 1), ("m", "parent", None, None, t, 2), ("z", "parent", None, None, t, 1), ("z", "ref", "e", "g", None, 2), ("z", "delete", None, None, None, 3), ("y", "delete", None, None, None, 1), ("y", "parent", None, None, datetime(2025, 1, 1), 2), ("y", "ref", "e", "f", t, 3)], schema).coalesce(1).write.parquet(f"{d}/refs")
         events = spark.readStream.schema(schema).parquet(f"{d}/refs")
         q = live.orphans(events).writeStream.format("memory").queryName("waiting").outputMode("update").option("checkpointLocation", f"{d}/c2").trigger(availableNow=True).start()
         q.awaitTermination(90)
-        assert {tuple(r) for r in spark.table("waiting").collect()} == {("k", 2), ("z", 1)}
+        assert {tuple(r) for r in spark.table("waiting").collect()} == {("k", "e", "f", "2024-05", "absent", 2), ("z", "e", "g", None, "deleted", 1), ("y", "e", "f", "2024-05", "early", 1)}
 
 
 def test_windows_of_streams_equal_batches(spark, small):
@@ -142,3 +164,8 @@ def test_windows_of_streams_equal_batches(spark, small):
     assert live.per_day(e).selectExpr("sum(n)").first()[0] == e.count()
     assert live.sessions(e).selectExpr("sum(n)").first()[0] == e.count()
     assert live.recent_rate(e).count() > 0 and live.running_counters(e).count() == 5
+    with tempfile.TemporaryDirectory() as d:
+        e.coalesce(1).write.parquet(f"{d}/e")
+        q = live.first_asks(spark.readStream.schema(e.schema).parquet(f"{d}/e"), "1000 days").writeStream.format("memory").queryName("first_asks").option("checkpointLocation", f"{d}/c").trigger(availableNow=True).start()
+        q.awaitTermination(90)
+        assert spark.table("first_asks").count() == e.select("org_id", "question", "user_id").distinct().count()

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import secrets
 from quillstone.operators import rerank
+from quillstone.plans.scratch import Scratch
 
 
 def test_heuristic_prefers_quotes_and_names(spark):
@@ -14,10 +15,11 @@ def test_heuristic_prefers_quotes_and_names(spark):
 
 
 def test_hops(spark):
-    records = spark.createDataFrame([("a", "Ann met Bob Stone at the harbor"), ("b", "Bob Stone likes plums"), ("c", "quiet"), ("d", "rain")], "id string, text string")
+    records = spark.createDataFrame([("a", "Ann met Bob Stone at the harbor"), ("b", "Bob Stone likes plums"), ("c", "quiet"), ("d", "rain")], "id string, text string").withColumns({"type": F.lit("fact"), "strength": F.lit(0.0)})
     live = spark.createDataFrame([("a", "c"), ("c", "a")], "a string, b string")
-    found = rerank.multi_hop(spark.createDataFrame([("q", "harbor")], "query_id string, text string"), records, live)
-    assert [(r.id, r.hop) for r in found.orderBy("rank").collect()] == [("a", 1), ("b", 2), ("c", 3)]
+    asked = spark.createDataFrame([("q", "harbor"), ("r", "zzz Plums"), ("e", "zzz")], "query_id string, text string")
+    found = rerank.multi_hop(asked, records, live, Scratch(spark, "t"))
+    assert [(r.query_id, r.id, r.hop) for r in found.orderBy("query_id", "rank").collect()] == [("q", "a", 1), ("q", "b", 2), ("q", "c", 3), ("r", "b", 1), ("r", "a", 2), ("r", "c", 3)]
 
 
 def test_encryption_round_trip(spark):
