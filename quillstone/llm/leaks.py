@@ -27,6 +27,8 @@ from quillstone.llm.words import words
 
 #: Words of the shortest match; corpus words of one suffix array; characters of evaluation text in one block.
 LEAST, SHARD_WORDS, BLOCK_CHARS = 12, 1_000_000, 8_000_000
+#: Common places of text and query that are extended at once; a single query place may have more.
+AT_ONCE = 2_000_000
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -64,10 +66,17 @@ def _bound(text: np.ndarray, array: np.ndarray, query: np.ndarray, starts: np.nd
     return low
 
 
-def _matches(text: np.ndarray, query: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places in text and query of all common runs of ``LEAST`` words and more, and their lengths."""
+def _matches(text: np.ndarray, query: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places in text and query of all common runs of ``LEAST`` words and more, and their lengths, in parts of about ``AT_ONCE``."""
     array = suffix_array(text, LEAST)
     low, high = _bound(text, array, query, starts, False), _bound(text, array, query, starts, True)
+    part = np.cumsum(high - low) // AT_ONCE
+    for p in np.unique(part[high > low]):
+        own = (part == p) & (high > low)
+        yield _extended(text, query, array, starts[own], low[own], high[own])
+
+
+def _extended(text: np.ndarray, query: np.ndarray, array: np.ndarray, starts: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = high - low
     q = np.repeat(starts, n)
     t = array[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -92,10 +101,10 @@ def _search(shared) -> Callable:  # noqa: ANN001
             text = np.concatenate([x for _, _, w in held for x in (w, [-1])])
             doc = np.repeat(np.arange(len(held)), [len(w) + 1 for _, _, w in held])
             at = np.concatenate([np.arange(s, s + len(w) + 1) for _, s, w in held])
-            t, q, length = _matches(text, query, starts)
-            if len(t):
-                out = pd.DataFrame({"doc_id": [held[d][0] for d in doc[t]], "item_id": items[q], "words": length, "doc_at": at[t], "item_at": places[q]})
-                yield out.sort_values(["words", "doc_at", "item_at"], ascending=[False, True, True]).drop_duplicates(["doc_id", "item_id"])
+            best = lambda rows: rows.sort_values(["words", "doc_at", "item_at"], ascending=[False, True, True]).drop_duplicates(["doc_id", "item_id"])
+            found = [best(pd.DataFrame({"doc_id": [held[d][0] for d in doc[t]], "item_id": items[q], "words": length, "doc_at": at[t], "item_at": places[q]})) for t, q, length in _matches(text, query, starts)]
+            if found:
+                yield best(pd.concat(found))
 
         for b in batches:
             for doc, text in zip(b["doc_id"], b["text"], strict=True):
