@@ -8,11 +8,35 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: list[Scratch] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LOCK = threading.Lock()
+#: Writes under way, and what the setting was before the first of them.
+_WRITING: list = [0, None]
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """A table is written: nothing reads this run's shuffle files again. Writes of several threads share the setting."""
+    with _LOCK:
+        if not _WRITING[0]:
+            _WRITING[1] = spark.conf.get(_CLEANUP, None)
+            spark.conf.set(_CLEANUP, "true")
+        _WRITING[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING[0] -= 1
+            if not _WRITING[0]:
+                spark.conf.set(_CLEANUP, _WRITING[1]) if _WRITING[1] is not None else spark.conf.unset(_CLEANUP)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,13 +64,8 @@ class Scratch:
         """Write ``df`` and return the table read back."""
         self.n += 1
         path = f"{self.base}/{self.n}-{name}"
-        key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        before = self.spark.conf.get(key, None)
-        self.spark.conf.set(key, "true")  # the table is written: nothing reads this run's shuffle files again
-        try:
+        with _cleaned(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.set(key, before) if before is not None else self.spark.conf.unset(key)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         return back

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.operators import questions
+from quillstone.operators.trouble import Detector
 
 
 def running_counters(asked: DataFrame) -> DataFrame:
@@ -107,3 +108,62 @@ def orphans(events: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["key", "ref_table", "ref_field", "month", "reason", "waiting"])
 
     return events.groupBy("key").applyInPandasWithState(step, "key string, ref_table string, ref_field string, month string, reason string, waiting bigint", "refs string, born double, seen boolean, gone boolean", "update", "NoTimeout")
+
+
+def stuck(calls: DataFrame, failures: int = 2, empties: int = 2, repeats: int = 3) -> DataFrame:
+    """``session_id, n, trouble`` of calls ``session_id, n, name, arguments, content, is_error``: the detector of ``operators.trouble`` as it goes.
+
+    ``n`` orders the calls of a session within a batch. The state of a session is its counters.
+    """
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        detector = Detector(failures, empties, repeats)
+        if state.exists:
+            detector.runs, detector.calls = json.loads(state.get[0])
+        out = []
+        for c in pd.concat(list(batches)).sort_values("n").itertuples():
+            found = detector.observe(c.name, c.arguments, c.content, None if pd.isna(c.is_error) else bool(c.is_error))
+            if found:
+                out.append((key[0], c.n, found))
+        state.update((json.dumps([detector.runs, detector.calls]),))
+        yield pd.DataFrame(out, columns=["session_id", "n", "trouble"])
+
+    return calls.groupBy("session_id").applyInPandasWithState(step, "session_id string, n bigint, trouble string", "counters string", "append", "NoTimeout")
+
+
+def every(messages: DataFrame, size: int) -> DataFrame:
+    """``session_id, batch, text``: a session's messages ``session_id, n, line``, whenever ``size`` have come together."""
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        done, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+        out = []
+        for line in pd.concat(list(batches)).sort_values("n")["line"]:
+            held.append(line)
+            if len(held) == size:
+                out.append((key[0], done, "\n".join(held)))
+                done, held = done + 1, []
+        state.update((done, held))
+        yield pd.DataFrame(out, columns=["session_id", "batch", "text"]).astype({"batch": "int32"})
+
+    return messages.groupBy("session_id").applyInPandasWithState(step, "session_id string, batch int, text string", "done int, held array<string>", "append", "NoTimeout")
+
+
+def expired(events: DataFrame, late: str = "1 hour") -> DataFrame:
+    """``key, at``: keys whose time to live is over. ``events`` has ``key, at, ttl`` (seconds); each event of a key starts its time anew.
+
+    A key expires once the watermark passes its last event's time by ``ttl``.
+    """
+
+    def step(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+        if state.hasTimedOut:
+            until = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "at": pd.to_datetime([until], unit="ms")})
+            return
+        until = state.get[0] if state.exists else 0
+        for b in batches:
+            until = max(until, *(int(t.timestamp() * 1000 + 1000 * n) for t, n in zip(b["at"], b["ttl"], strict=True)))
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("at", late).groupBy("key").applyInPandasWithState(step, "key string, at timestamp", "until bigint", "append", "EventTimeTimeout")

@@ -159,6 +159,25 @@ def test_streams(spark):
         assert {tuple(r) for r in spark.table("waiting").collect()} == {("k", "e", "f", "2024-05", "absent", 2), ("z", "e", "g", None, "deleted", 1), ("y", "e", "f", "2024-05", "early", 1)}
 
 
+def test_stateful_streams(spark):
+    with tempfile.TemporaryDirectory() as d:
+
+        def stream(rows, schema, name, make):
+            for i, part in enumerate(rows):
+                spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{d}/{name}/{i}")
+            source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{d}/{name}")
+            make(source).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{d}/c-{name}").trigger(availableNow=True).start().awaitTermination(90)
+            return {tuple(r) for r in spark.table(name).collect()}
+
+        calls = [[("a", 1, "f", "{}", "Error", None), ("a", 2, "f", "{}", "fine", None), ("b", 1, "g", None, "[]", None)], [("a", 3, "f", "{}", "fine", None), ("b", 2, "g", None, "", None)]]
+        assert stream(calls, "session_id string, n bigint, name string, arguments string, content string, is_error boolean", "stuck", live.stuck) == {("a", 3, "repeats"), ("b", 2, "empties")}
+        lines = [[("a", 1, "x"), ("a", 2, "y")], [("a", 3, "z"), ("a", 4, "u"), ("b", 1, "v")]]
+        assert stream(lines, "session_id string, n bigint, line string", "every", lambda m: live.every(m, 2)) == {("a", 0, "x\ny"), ("a", 1, "z\nu")}
+        at = lambda h: datetime(2025, 1, 1, h)
+        events = [[("k", at(1), 3600), ("m", at(1), 36000)], [("z", at(9), 10)], [("z", at(10), 10)]]
+        assert stream(events, "key string, at timestamp, ttl bigint", "expired", live.expired) == {("k", at(2))}
+
+
 def test_windows_of_streams_equal_batches(spark, small):
     e = spark.read.parquet(f"{small}/events.parquet").selectExpr("'o' as org_id", "event_type as question", "user_id", "cast(ts as timestamp) as asked_at", "cast(ts as timestamp) as ts", "cast(event_id as string) as receipt")
     assert live.per_day(e).selectExpr("sum(n)").first()[0] == e.count()
