@@ -6,7 +6,7 @@ ties have one order. Scores are rounded to 6 decimals before they are ranked.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,13 +35,12 @@ def query_terms(queries: DataFrame, repeat: bool = False, stemmed: bool = False)
     return queries.select("query_id", F.explode(terms if repeat else F.array_distinct(terms)).alias("term"))
 
 
-def keyword_scores(queries: DataFrame, records: DataFrame, stemmed: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """``query_id, id, score``: any term matches; BM25 over all records.
+def _hits(queries: DataFrame, records: DataFrame, stemmed: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, int, float]:
+    """Query terms ``query_id, term``; their hits ``term, id, length, tf``; the number of records and their mean length.
 
     One pass over the records tokenises each once. Only tokens of queries are kept before anything is shuffled; rows without
     a term, combined before the shuffle, count the records by length. The hits are written, so every later step reads them only.
     """
-    scratch = scratch or Scratch(records.sparkSession, "keywords")
     terms = scratch.cut(query_terms(queries, stemmed=stemmed), "terms")
     wanted = scratch.cut(terms.select("term").distinct().unionByName(records.sparkSession.createDataFrame([(_LENGTHS,)], "term string")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_TERMS else wanted
@@ -49,23 +48,85 @@ def keyword_scores(queries: DataFrame, records: DataFrame, stemmed: bool = False
     each = words.select("id", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(_LENGTHS)), "words")).alias("term")).join(wanted, "term", "left_semi")
     each = each.withColumn("id", F.when(F.col("term") != _LENGTHS, F.col("id")))
     hits = scratch.cut(each.groupBy("term", "id", "length").agg(F.count("*").alias("tf")), "hits")
-    corpus = hits.where(F.col("term") == _LENGTHS).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).alias("mean"))
-    n, mean = corpus.first()
-    hits = hits.where(F.col("term") != _LENGTHS)
+    n, mean = hits.where(F.col("term") == _LENGTHS).agg(F.coalesce(F.sum("tf"), F.lit(0)), F.sum(F.col("tf") * F.col("length")) / F.sum("tf")).first()
+    return terms, hits.where(F.col("term") != _LENGTHS), n, mean or 1.0
+
+
+def keyword_scores(queries: DataFrame, records: DataFrame, stemmed: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """``query_id, id, score`` of every match: any term matches; BM25 over all records."""
+    terms, hits, n, mean = _hits(queries, records, stemmed, scratch or Scratch(records.sparkSession, "keywords"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
     return hits.join(df, "term").join(terms, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50, stemmed: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """``query_id, id, score, rank``: the best ``pool`` by keywords; of equal scores the newest where records have ``created_at``, then by id."""
-    scored = keyword_scores(queries, records, stemmed, scratch)
-    if "created_at" not in records.columns:
-        return ranked(scored, pool)
-    scored = scored.join(records.select("id", "created_at"), "id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("created_at"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool).select("query_id", "id", "score", "rank")
+def _best_by_keywords(shared, mean: float, most: int) -> Callable:  # noqa: ANN001
+    """The best of every batch of records ``id, length, terms, tfs`` for a block of queries; the sum over terms is a sum of outer products."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, vocabulary, idf, asked = shared.value
+        index = pd.Index(vocabulary)
+        for whole in batches:
+            for s in range(0, len(whole), 1000):
+                b = whole.iloc[s : s + 1000].sort_values("id", kind="stable")
+                held = b["terms"].map(len).to_numpy()
+                doc = np.repeat(np.arange(len(b)), held)
+                code = index.get_indexer(np.concatenate(b["terms"].to_list())) if held.sum() else np.zeros(0, np.int64)
+                tf = np.concatenate(b["tfs"].to_list()).astype(float) if held.sum() else np.zeros(0)
+                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(b["length"].to_numpy(), held) / mean))
+                o = np.argsort(code, kind="stable")
+                code, doc, weight = code[o], doc[o], weight[o]
+                edge = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True]))) if len(code) else np.zeros(1, int)
+                score = np.zeros((len(names), len(b)))
+                for x, y in zip(edge[:-1], edge[1:], strict=True):
+                    if code[x] >= 0:
+                        score[np.ix_(asked[code[x]], doc[x:y])] += idf[code[x]] * weight[x:y]
+                k = min(most, len(b))
+                rounded = np.where(score > 0, np.round(score, 6), -1.0)
+                # all rows at or above the k-th score, ties too, then the first k of each query by score and id
+                least = np.maximum(np.partition(rounded, len(b) - k, axis=1)[:, len(b) - k], 0)
+                q, at = np.nonzero(rounded >= least[:, None])
+                value = rounded[q, at]
+                o = np.lexsort((at, -value, q))
+                q, at, value = q[o], at[o], value[o]
+                start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))[: len(q)])
+                keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
+                yield pd.DataFrame({"query_id": np.array(names, object)[q[keep]], "id": b["id"].to_numpy()[at[keep]], "score": value[keep]})
+
+    return run
+
+
+def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50, stemmed: bool = False, scratch: Scratch | None = None, block: int = 2000) -> DataFrame:
+    """``query_id, id, score, rank``: the best ``pool`` by keywords, ties by id.
+
+    Records meet the queries block by block, and every batch of records keeps its best for each query, so that at most ``pool`` rows per query and
+    batch are shuffled, however many records a query matches.
+    """
+    spark, scratch = records.sparkSession, scratch or Scratch(records.sparkSession, "keywords")
+    terms, hits, n, mean = _hits(queries, records, stemmed, scratch)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // 20_000))
+    found = scratch.cut(hits.groupBy("id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("id", "length", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")).repartition(tasks), "found")
+    asked = scratch.cut(terms.join(df, "term"), "asked")
+    kinds = (dict(queries.dtypes)["query_id"], dict(records.dtypes)["id"])
+    blocks, out = max(1, -(-queries.count() // block)), None
+    for at in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()  # the terms of one block of queries
+        if not rows:
+            continue
+        names = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in rows))}
+        where: dict[str, list[int]] = {}
+        idf: dict[str, float] = {}
+        for r in rows:
+            where.setdefault(r["term"], []).append(names[r["query_id"]])
+            idf[r["term"]] = max(1e-6, float(np.log((n - r["df"] + 0.5) / (r["df"] + 0.5))))
+        shared = spark.sparkContext.broadcast((list(names), list(where), [idf[t] for t in where], [np.array(x) for x in where.values()]))
+        part = found.mapInPandas(_best_by_keywords(shared, mean, pool), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int")
+    return ranked(out, pool)
 
 
 def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:
