@@ -89,6 +89,17 @@ def test_every_capacity_is_packed(spark):
     assert packing.pack(counts, budgets, Scratch(spark, "t")).select("budget_id").distinct().count() == 1200
 
 
+def test_little_space_is_left_unused(spark):
+    rng = random.Random(8)
+    sizes = [min(2000, int(rng.lognormvariate(5, 1)) + 1) for _ in range(5000)]
+    counts = spark.createDataFrame([*enumerate(sizes)], "id int, tokens bigint")
+    boxes = packing.pack(counts, spark.createDataFrame([(1, 512), (2, 2048)], "budget_id int, capacity_tokens int"), Scratch(spark, "t"), shard_items=1000)
+    for budget, capacity in ((1, 512), (2, 2048)):
+        own = boxes.where(f"budget_id = {budget}").toPandas()
+        assert own["tokens"].sum() == sum(sizes) and own.groupby("container")["tokens"].sum().max() <= capacity
+        assert 1 - sum(sizes) / (own["container"].nunique() * capacity) < 0.03
+
+
 def test_formed_entities():
     t = "Mail a.b+c@x-y.example or ann (at) site [dot] org, call +44 (0)20 7946 0058, 07700 900 902 or (212) 555-0160. QQ 12 34 56 C; SSN 000 11 2222; 12 Elm Street, Bigtown. P.O. Box 12, Ayton."
     kinds = [k for _, _, k in sorted(private._formed(t))]
