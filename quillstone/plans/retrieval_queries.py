@@ -348,9 +348,9 @@ def query_stemmed(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def keyword_throughput(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 60 characters of every live record as a query against all of them, in one job."""
+    """The first sentence of every live record as a query against all of them, in one job."""
     texts = _texts(spark, folder)
-    asked = texts.where("text <> ''").select(F.col("id").alias("query_id"), F.substring("text", 1, 60).alias("text"))
+    asked = texts.select(F.col("id").alias("query_id"), F.regexp_extract("text", r"^[^.!?]*", 0).alias("text"))
     return retrieval.keyword_search(asked, texts, 10)
 
 
@@ -568,7 +568,7 @@ SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rele
     "query_time_window": f"""WITH {_B}, {_DOCS}, {_HQ}, {_scores('hq', 'ks')}, m AS (SELECT ks.query_id, l.id, l.created_at, hq.windowed, {_INSIDE} AS inside FROM ks JOIN live l USING (id) JOIN hq USING (query_id)),
 k AS (SELECT *, max(inside) OVER (PARTITION BY query_id) AS one_in FROM m)
 SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY created_at DESC NULLS LAST, id) AS INT) AS rank FROM k WHERE NOT windowed OR inside OR NOT one_in QUALIFY rank <= 10""",
-    "keyword_throughput": f"""WITH {_B}, {_DOCS}, tq AS (SELECT id AS query_id, left(array_to_string(list_filter([content] || coalesce(tags, []), lambda x: x IS NOT NULL), ' '), 60) AS text FROM live), {_scores('tq', 'ks')}
+    "keyword_throughput": f"""WITH {_B}, {_DOCS}, tq AS (SELECT id AS query_id, regexp_extract(array_to_string(list_filter([content] || coalesce(tags, []), lambda x: x IS NOT NULL), ' '), '^[^.!?]*') AS text FROM live), {_scores('tq', 'ks')}
 SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM ks QUALIFY rank <= 10""",
     "context_grouped": f"""WITH {_REL}, t AS (SELECT *, list_position(['fact', 'preference', 'entity', 'event', 'relation'], type) AS o, row_number() OVER (PARTITION BY query_id, type ORDER BY strength DESC, id) AS n FROM ranked),
 l AS (SELECT query_id, type, o, n, id, floor(length('[' || type || '] (' || printf('%.2f', strength) || ' ' || CASE WHEN strength >= 0.9 THEN 'HIGH' WHEN strength >= 0.7 THEN 'MED' WHEN strength >= 0.4 THEN 'LOW' ELSE 'WEAK' END || ') ' || coalesce(content, '')) / 4) AS cost FROM t WHERE o IS NOT NULL AND n <= 20),
