@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -55,6 +56,44 @@ def test_trie_counts():
     assert {k: (s, n) for k, s, n in t.terminals()} == {b"aaaa": ("z", 2), b"aaab": ("a", 4), b"bbbb": ("z", 1), b"aa": ("m", 2)}
 
 
+@pytest.mark.parametrize("extend, tail", [(2, 64), (2, 5), (40, 9)])
+def test_long_lists_lose_no_pair_when_split(spark, monkeypatch, extend, tail):
+    monkeypatch.setattr(near, "EXTEND", extend)
+    monkeypatch.setattr(near, "TAIL", tail)
+    rng, found = random.Random(5), []
+    vocabulary = [f"w{i}" for i in range(50)]
+    for g in range(60):
+        base = rng.sample(vocabulary, rng.choice([2, 3, 4, 12, 30, 45]))
+        for v in range(4):
+            found.append((f"r{g:02}{v}", " ".join({w for w in base if rng.random() > 0.08} | {*rng.sample(vocabulary, rng.choice([0, 0, 1, 2]))}) or "w0"))
+    got = {tuple(r) for r in near.member_pairs(*near.near_duplicates(rows(spark, found), Scratch(spark, "t"))).collect()}
+    sets = {i: (set(words(t)), canonical(t)) for i, t in found}
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a][1] != sets[b][1] and 10 * len(sets[a][0] & sets[b][0]) >= 7 * len(sets[a][0] | sets[b][0])}
+    assert got == want and len(want) > 100
+
+
+def test_a_long_list_forms_few_pairs(monkeypatch):
+    """5000 sets of 40 words with one word in common: 12.5 million pairs; split by their next words, hardly any."""
+    rng = np.random.default_rng(3)
+    rows, prefix = 5000, 13
+    formed, windows = [0], near._windows
+
+    def counted(*args):
+        for i, j in windows(*args):
+            formed[0] += len(i)
+            yield i, j
+
+    monkeypatch.setattr(near, "_windows", counted)
+    tails = np.sort(rng.integers(0, 5000, (rows, prefix + 1)), axis=1).astype(np.uint16)
+    tails[1] = tails[0]
+    parity = [rng.integers(0, 2**63, rows).astype(np.uint64) for _ in range(4)]
+    for p in parity:
+        p[1] = p[0]
+    same = np.zeros(rows, np.int64)
+    out = near._compare(same, same - 1, np.arange(rows), same + 40, same, parity, tails.ravel(), np.arange(rows + 1) * (prefix + 1), 1024)
+    assert out.tolist() == [[0, 1]] and formed[0] < 1_000_000
+
+
 @pytest.mark.parametrize("long", [16_384, 6])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, long):
     monkeypatch.setattr(near, "LIST_ROWS", long)
