@@ -7,9 +7,12 @@ ties have one order. Scores are rounded to 6 decimals before they are ranked.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,6 +24,8 @@ from quillstone.plans.scratch import Scratch
 K1, B = 1.2, 0.75
 #: Query terms up to this number are broadcast; more are joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Shares of the records in which frequent terms, and those of the middle, occur; records of one task.
+OFTEN, MIDDLE, DOCS = 0.1, 0.03, 60_000
 #: Stands in for a term in the rows that count records by length.
 _LENGTHS = "\x00"
 
@@ -62,71 +67,136 @@ def keyword_scores(queries: DataFrame, records: DataFrame, stemmed: bool = False
 
 
 def _best_by_keywords(shared, mean: float, most: int) -> Callable:  # noqa: ANN001
-    """The best of every batch of records ``id, length, terms, tfs`` for a block of queries; the sum over terms is a sum of outer products."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, vocabulary, idf, asked = shared.value
-        index = pd.Index(vocabulary)
-        for whole in batches:
-            for s in range(0, len(whole), 1000):
-                b = whole.iloc[s : s + 1000].sort_values("id", kind="stable")
-                held = b["terms"].map(len).to_numpy()
-                doc = np.repeat(np.arange(len(b)), held)
-                code = index.get_indexer(np.concatenate(b["terms"].to_list())) if held.sum() else np.zeros(0, np.int64)
-                tf = np.concatenate(b["tfs"].to_list()).astype(float) if held.sum() else np.zeros(0)
-                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.repeat(b["length"].to_numpy(), held) / mean))
-                o = np.argsort(code, kind="stable")
-                code, doc, weight = code[o], doc[o], weight[o]
-                edge = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True]))) if len(code) else np.zeros(1, int)
-                score = np.zeros((len(names), len(b)))
-                for x, y in zip(edge[:-1], edge[1:], strict=True):
-                    if code[x] >= 0:
-                        score[np.ix_(asked[code[x]], doc[x:y])] += idf[code[x]] * weight[x:y]
-                k = min(most, len(b))
-                rounded = np.where(score > 0, np.round(score, 6), -1.0)
-                # all rows at or above the k-th score, ties too, then the first k of each query by score and id
-                least = np.maximum(np.partition(rounded, len(b) - k, axis=1)[:, len(b) - k], 0)
-                q, at = np.nonzero(rounded >= least[:, None])
-                value = rounded[q, at]
-                o = np.lexsort((at, -value, q))
-                q, at, value = q[o], at[o], value[o]
-                start = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))[: len(q)])
-                keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
-                yield pd.DataFrame({"query_id": np.array(names, object)[q[keep]], "id": b["id"].to_numpy()[at[keep]], "score": value[keep]})
+    """The best of the records of a task, ``id, length, codes, tfs``, for a block of queries: ``query_id, ids, scores``.
+
+    Queries with the same frequent terms share the sums over these. Records with none of a query's rarer terms are beaten by the best
+    of these sums alone, so a query looks at that short list and at the records of its rarer terms, in two steps of rarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        names, vocabulary, idf, often, asked = shared.value
+        t = pa.Table.from_batches(held).sort_by("id")  # the place of a record breaks ties
+        ids, codes, tf = t["id"].combine_chunks(), t["codes"], t["tfs"]
+        size = pc.list_value_length(codes).to_numpy()
+        code, tf = (x.combine_chunks().flatten().to_numpy() for x in (codes, tf))
+        doc, tf = np.repeat(np.arange(len(ids), dtype=np.int32), size), tf.astype(float)
+        term = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+        ok = vocabulary[term] == code
+        doc, tf, term = doc[ok], tf[ok], term[ok]
+        part = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * t["length"].to_numpy()[doc] / mean))
+        o = np.argsort(term, kind="stable")
+        doc, part, start = doc[o], part[o], np.searchsorted(term[o], np.arange(len(vocabulary) + 1)).tolist()
+        dense = {}
+        for x in np.flatnonzero(often).tolist():
+            dense[x] = np.zeros(len(ids))
+            dense[x][doc[start[x] : start[x + 1]]] = part[start[x] : start[x + 1]]
+
+        def top(places: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+            """The best by rounded score and place, and the least score that may still be among them."""
+            value = np.round(sums, 6)
+            o = np.lexsort((places, -value))[:most]
+            return places[o], value[o], value[o[-1]] - 1e-6 if len(o) == most else 0.0
+
+        def better(sums: np.ndarray, terms: tuple[int, ...], pool: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, np.ndarray]:
+            """Adds some terms to ``sums``; the best then, with the places changed and what they held."""
+            spans = [slice(start[x], start[x + 1]) for x in terms]
+            at = np.concatenate([doc[x] for x in spans])
+            before = sums[at]
+            for x in spans:
+                sums[doc[x]] += part[x]
+            some = np.unique(np.concatenate((pool, at[sums[at] >= least])))
+            return *top(some, sums[some]), at, before
+
+        rows, places, scores, row = [], [], [], 0
+        none = np.zeros(0, np.int64)
+        for high, groups in asked:
+            sums = np.zeros(len(ids))
+            for x in high:
+                sums += dense[x]
+            pool, value, least = none, np.zeros(0), 0.0
+            if high:
+                some = np.flatnonzero(sums > 0)
+                if len(some) > most:
+                    some = some[sums[some] >= np.partition(sums[some], -most)[-most] - 1e-6]
+                if len(some):
+                    pool, value, least = top(some, sums[some])
+            for middle, queries in groups:
+                pool2, value2, least2, at2, before2 = better(sums, middle, pool, least) if middle else (pool, value, least, none, none)
+                for rare in queries:
+                    if rare:
+                        found, best, _, at, before = better(sums, rare, pool2, least2)
+                        sums[at] = before
+                    else:
+                        found, best = pool2, value2
+                    if len(found):
+                        rows.append(row)
+                        places.append(found)
+                        scores.append(best)
+                    row += 1
+                sums[at2] = before2
+        for s in range(0, len(rows), 5000):
+            ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in places[s : s + 5000]]))).astype(np.int32))
+            best = pa.ListArray.from_arrays(ends, ids.take(pa.array(np.concatenate(places[s : s + 5000]))))
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[s : s + 5000])), best, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(scores[s : s + 5000])))], names=["query_id", "ids", "scores"])
 
     return run
 
 
-def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50, stemmed: bool = False, scratch: Scratch | None = None, block: int = 2000) -> DataFrame:
+def _nested(t: pa.Table, n: int) -> tuple:
+    """A block of queries ``query_id, x`` of ``code, df``, ordered by their frequent terms: names, codes, weights, which are frequent, the queries."""
+    x = t["x"].combine_chunks()
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    size, flat = pc.list_value_length(x).to_numpy(), x.flatten()
+    vocabulary, first, term = np.unique(flat.field("code").to_numpy(), return_index=True, return_inverse=True)
+    df = flat.field("df").to_numpy()[first]
+    kind = (df > OFTEN * n).astype(int) + (df > MIDDLE * n)
+    queries = []
+    for i, own in enumerate(np.split(term, np.cumsum(size)[:-1])):
+        k = kind[own]
+        queries.append((*(tuple(np.sort(own[k == c]).tolist()) for c in (2, 1, 0)), i))
+    queries.sort(key=lambda q: (q[0], q[1]))
+    asked = [(high, [(middle, [q[2] for q in same]) for middle, same in groupby(group, lambda q: q[1])]) for high, group in groupby(queries, lambda q: q[0])]
+    names = t["query_id"].combine_chunks()
+    names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
+    return names.take(pa.array([q[3] for q in queries])), vocabulary, np.maximum(1e-6, np.log((n - df + 0.5) / (df + 0.5))), kind == 2, asked
+
+
+def keyword_search(queries: DataFrame, records: DataFrame, pool: int = 50, stemmed: bool = False, scratch: Scratch | None = None, block: int = 40_000) -> DataFrame:
     """``query_id, id, score, rank``: the best ``pool`` by keywords, ties by id.
 
-    Records meet the queries block by block, and every batch of records keeps its best for each query, so that at most ``pool`` rows per query and
-    batch are shuffled, however many records a query matches.
+    Records meet the queries block by block, and every task of up to ``DOCS`` records keeps its best for each query, so that at most ``pool``
+    rows per query and task are shuffled, however many records a query matches.
     """
     spark, scratch = records.sparkSession, scratch or Scratch(records.sparkSession, "keywords")
     terms, hits, n, mean = _hits(queries, records, stemmed, scratch)
+    seed = 0  # terms are compared by 64-bit codes, under the first seed that gives no two the same
+    while len({*terms.agg(F.count_distinct("term"), F.count_distinct(F.xxhash64("term", F.lit(seed)))).first()}) > 1:
+        seed += 1
+    code = F.xxhash64("term", F.lit(seed)).alias("code")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-n // 20_000))
-    found = scratch.cut(hits.groupBy("id", "length").agg(F.collect_list(F.struct("term", "tf")).alias("x")).select("id", "length", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")).repartition(tasks), "found")
-    asked = scratch.cut(terms.join(df, "term"), "asked")
-    kinds = (dict(queries.dtypes)["query_id"], dict(records.dtypes)["id"])
-    blocks, out = max(1, -(-queries.count() // block)), None
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n // DOCS))
+    found = scratch.cut(hits.groupBy("id", "length").agg(F.collect_list(F.struct(code, "tf")).alias("x")).select("id", "length", F.col("x.code").alias("codes"), F.col("x.tf").alias("tfs")).repartition(tasks), "found")
+    asked = terms.join(df, "term").groupBy("query_id").agg(F.collect_list(F.struct(code, "df")).alias("x"))
+    # queries with the same frequent terms are in one block, or as many as they fill
+    asked = scratch.cut(asked.withColumn("common", F.xxhash64(F.array_sort(F.transform(F.filter("x", lambda t: t["df"] > OFTEN * n), lambda t: t["code"])))), "asked")
+    share = asked.groupBy("common").agg(F.ceil(F.count("*") / block).alias("parts"))
+    blocks = max(1, -(-asked.count() // block))
+    asked = scratch.cut(asked.join(share, "common").select("query_id", "x", F.pmod(F.xxhash64("common", F.pmod(F.xxhash64("query_id"), "parts")), F.lit(blocks)).alias("at")), "asked") if blocks > 1 else asked.withColumn("at", F.lit(0))
+    kinds, out = (dict(queries.dtypes)["query_id"], dict(records.dtypes)["id"]), None
     for at in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at).collect()  # the terms of one block of queries
-        if not rows:
+        rows = asked.where(F.col("at") == at).select("query_id", "x").toArrow()  # one block of queries
+        if not rows.num_rows:
             continue
-        names = {q: i for i, q in enumerate(dict.fromkeys(r["query_id"] for r in rows))}
-        where: dict[str, list[int]] = {}
-        idf: dict[str, float] = {}
-        for r in rows:
-            where.setdefault(r["term"], []).append(names[r["query_id"]])
-            idf[r["term"]] = max(1e-6, float(np.log((n - r["df"] + 0.5) / (r["df"] + 0.5))))
-        shared = spark.sparkContext.broadcast((list(names), list(where), [idf[t] for t in where], [np.array(x) for x in where.values()]))
-        part = found.mapInPandas(_best_by_keywords(shared, mean, pool), f"query_id {kinds[0]}, id {kinds[1]}, score double")
+        shared = spark.sparkContext.broadcast(_nested(rows, n))
+        part = found.mapInArrow(_best_by_keywords(shared, mean, pool), f"query_id {kinds[0]}, ids array<{kinds[1]}>, scores array<double>")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int")
-    return ranked(out, pool)
+    out = out.repartition("query_id").select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("x"))
+    return ranked(out.select("query_id", F.col("x.ids").alias("id"), F.col("x.scores").alias("score")), pool)
 
 
 def ranked(scored: DataFrame, most: int | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import pathlib
+import random
 import tempfile
 from collections import Counter
 from datetime import datetime
@@ -188,3 +189,20 @@ def test_windows_of_streams_equal_batches(spark, small):
         q = live.first_asks(spark.readStream.schema(e.schema).parquet(f"{d}/e"), "1000 days").writeStream.format("memory").queryName("first_asks").option("checkpointLocation", f"{d}/c").trigger(availableNow=True).start()
         q.awaitTermination(90)
         assert spark.table("first_asks").count() == e.select("org_id", "question", "user_id").distinct().count()
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_keyword_search_equals_brute_force_and_shuffles_one_row_per_query_and_task(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieval, "MIDDLE", 0.05)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(f"r{i:03}", " ".join(rng.choices(words, [1 / (1 + k) for k in range(30)], k=rng.choice([2, 5, 9])))) for i in range(300)]
+    records = spark.createDataFrame([*texts, ("same", texts[7][1]), ("none", None)], "id string, text string").repartition(2)
+    asked = spark.createDataFrame([*texts[:40], ("unknown", "zz"), ("rare", "w29 w28 zz"), ("often", "w0 w0")], "query_id string, text string")
+    found = retrieval.keyword_search(asked, records, 4, block=block)
+    got = {(r.query_id, r.id): (r.score, r["rank"]) for r in found.collect()}
+    scores = retrieval.keyword_scores(asked, records)
+    want = {(r.query_id, r.id): (r.score, r["rank"]) for r in retrieval.ranked(scores, 4).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == v[1] and abs(got[k][0] - v[0]) < 1e-5 for k, v in want.items()) and len(got) > 150
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ids#" in plan and "scores#" in plan  # whole lists, not rows of small batches, are shuffled
